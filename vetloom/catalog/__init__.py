@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("scalars",)
+SECTIONS = ("scalars", "projections", "predicates", "joins")
 
 
 def load_all() -> None:

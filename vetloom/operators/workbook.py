@@ -37,3 +37,296 @@ def canonical_cell_ref(ref: Column) -> Column:
     parts = split_cell_ref(ref)
     sheet = F.when(parts["sheet"] == "", "").otherwise(F.concat(F.lower(parts["sheet"]), F.lit("!")))
     return F.concat(sheet, parts["col"], parts["row"].cast("string"))
+
+
+def _clipped(row_no: Column, col_no: Column) -> Column:
+    return (row_no <= LAST_ROW) & (col_no <= len(COLUMNS))
+
+
+def cells_to_lines(cells: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Tab-joined line per sheet row (blank cells and empty rows dropped) under a banner line 0 per sheet."""
+    filled = cells.filter((F.trim("text") != "") & (F.col("row_no") <= max_rows))
+    cols = F.array_sort(F.collect_list(F.struct("col", "text")))
+    lines = filled.groupBy("workbook_id", "sheet", "row_no").agg(
+        F.array_join(F.transform(cols, lambda c: c["text"]), "\t").alias("line")
+    )
+    banner = lines.select("workbook_id", "sheet").distinct().select(
+        "workbook_id", "sheet", F.lit(0).alias("row_no"), F.concat(F.lit("--- Sheet: "), "sheet", F.lit(" ---")).alias("line")
+    )
+    return banner.unionByName(lines.withColumn("row_no", F.col("row_no").cast("int")))
+
+
+def block_to_cells(df: DataFrame, id_column: str, anchor: Column, text: Column) -> DataFrame:
+    """A pasted block to cells from its anchor on, clipped at the grid edge."""
+    block = F.regexp_replace(F.regexp_replace(text, "\r", ""), r"\n\z", "")
+    at = split_cell_ref(anchor)
+    placed = df.select(id_column, at.alias("at"), block.alias("block"))
+    rows = placed.select(id_column, "at", F.posexplode(F.split("block", "\n")).alias("r", "line"))
+    cells = rows.select(id_column, "at", "r", F.posexplode(F.split("line", "\t")).alias("c", "item"))
+    row_no, col_no = F.col("at.row") + F.col("r"), column_number(F.col("at.col")) + F.col("c")
+    return cells.filter(_clipped(row_no, col_no)).select(
+        id_column,
+        row_no.alias("row_no"),
+        F.element_at(F.array(*[F.lit(c) for c in COLUMNS]), col_no).alias("col"),
+        F.substring("item", 1, MAX_CELL_TEXT).alias("text"),
+    )
+
+
+def layout_two_sided(left: DataFrame, right: DataFrame, scenario: str, key: str, amount: str, rows: int = 19) -> DataFrame:
+    """Statement into A/B and ledger into D/E under a header row; the sheet holds ``rows`` lines a side."""
+
+    def side(df: DataFrame, key_col: str, amount_col: str, key_head: str, amount_head: str) -> DataFrame:
+        ranked = scans.first_rows(df, [scenario], [F.col(key), F.col(amount)], rows)
+        cells = F.array(
+            F.struct(F.lit(key_col).alias("col"), F.col(key).cast("string").alias("text")),
+            F.struct(F.lit(amount_col).alias("col"), F.col(amount).cast("decimal(18,2)").cast("string").alias("text")),
+        )
+        heads = F.array(
+            F.struct(F.lit(key_col).alias("col"), F.lit(key_head).alias("text")),
+            F.struct(F.lit(amount_col).alias("col"), F.lit(amount_head).alias("text")),
+        )
+        body = ranked.select(scenario, (F.col("rn") + 1).alias("row_no"), F.inline(cells))
+        top = df.select(scenario).distinct().select(scenario, F.lit(1).alias("row_no"), F.inline(heads))
+        return top.unionByName(body)
+
+    return side(left, "A", "B", "Statement reference", "Statement amount").unionByName(
+        side(right, "D", "E", "Ledger reference", "Ledger amount")
+    )
+
+
+def range_cells(cells: DataFrame, sheet: str, first: str, last: str) -> DataFrame:
+    """Cells inside a rectangular range; at most 400 per workbook by the limits of the grid."""
+    c1, r1, c2, r2 = first[0], int(first[1:]), last[0], int(last[1:])
+    if (abs(r2 - r1) + 1) * (abs(ord(c2) - ord(c1)) + 1) > MAX_RANGE_CELLS:
+        raise ValueError("#REF! the range is too large")
+    return cells.filter(
+        (F.lower("sheet") == sheet.lower())
+        & F.col("row_no").between(min(r1, r2), max(r1, r2))
+        & F.col("col").between(min(c1, c2), max(c1, c2))
+    )
+
+
+def range_to_table(cells: DataFrame, sheet: str, first: str, last: str) -> DataFrame:
+    """Rows of a range with one column per letter; first row marked as header, blank body rows dropped."""
+    letters = [c for c in COLUMNS if first[0] <= c <= last[0]]
+    inside = range_cells(cells, sheet, first, last)
+    wide = inside.groupBy("workbook_id", "row_no").agg(
+        *[F.coalesce(F.max(F.when(F.col("col") == c, F.col("text"))), F.lit("")).alias(c) for c in letters]
+    )
+    header = F.col("row_no") == int(first[1:])
+    filled = F.trim(F.concat(*letters)) != ""
+    return wide.filter(header | filled).withColumn("is_header", header)
+
+
+def range_stats(cells: DataFrame, sheet: str, first: str, last: str) -> DataFrame:
+    """SUM, MIN and MAX over the numbers of a range; the first error cell wins over all three."""
+    typed = range_cells(cells, sheet, first, last).withColumn("v", A.numeric_cell(F.col("text")))
+    number = F.when(F.col("v.kind") == "number", F.col("v.num"))
+    found = typed.groupBy("workbook_id").agg(
+        F.coalesce(F.sum(number), F.lit(0.0)).alias("total"),
+        F.coalesce(F.min(number), F.lit(0.0)).alias("low"),
+        F.coalesce(F.max(number), F.lit(0.0)).alias("high"),
+        F.min(F.when(F.col("v.kind") == "error", F.struct("row_no", "col", F.col("v.err").alias("err"))))["err"].alias("err"),
+    )
+    fine = F.col("err").isNull()
+    return found.select("workbook_id", *[F.when(fine, F.col(c)).alias(c) for c in ("total", "low", "high")], "err")
+
+
+def criteria_holds(text: Column, criteria: str) -> Column:
+    """Whether a shown cell text meets a criteria string such as ``>=10``, ``<>x`` or ``note``."""
+    wanted = criteria.strip()
+    op = next((o for o in ("<>", "<=", ">=", "<", ">", "=") if wanted.startswith(o)), "")
+    operand = wanted[len(op):].strip()
+    op = op or "="
+    shown = F.trim(text)
+    try:
+        target = float(operand.replace(",", ""))
+    except ValueError:
+        same = F.upper(shown) == operand.upper()
+        return ~same if op == "<>" else same
+    number = F.replace(shown, F.lit(","), F.lit("")).try_cast("double")
+    tests = {
+        "=": number == target, "<": number < target, ">": number > target,
+        "<=": number <= target, ">=": number >= target,
+    }
+    if op == "<>":
+        return number.isNull() | (number != target)
+    return F.coalesce(tests[op], F.lit(False))
+
+
+def _criteria_rows(cells: DataFrame, sheet: str, tested: str, summed: str, rows: tuple[int, int]) -> DataFrame:
+    """Tested and summed cell of every row, typed."""
+    inside = cells.filter((F.lower("sheet") == sheet.lower()) & F.col("row_no").between(*rows) & F.col("col").isin(tested, summed))
+    pair = inside.groupBy("workbook_id", "row_no").agg(
+        F.max(F.when(F.col("col") == tested, F.col("text"))).alias("t"),
+        F.max(F.when(F.col("col") == summed, F.col("text"))).alias("s"),
+    )
+    return pair.withColumn("tv", A.numeric_cell(F.col("t"))).withColumn("sv", A.numeric_cell(F.col("s")))
+
+
+def sum_if(cells: DataFrame, sheet: str, tested: str, summed: str, rows: tuple[int, int], criteria: str) -> DataFrame:
+    """SUMIF over two aligned columns; an error in the tested range, or in a summed cell that counts, wins."""
+    typed = _criteria_rows(cells, sheet, tested, summed, rows)
+    holds = criteria_holds(A.cell_text(F.col("tv")), criteria) & (F.col("tv.kind") != "error")
+    error = F.coalesce(F.col("tv.err"), F.when(holds, F.col("sv.err")))
+    found = typed.groupBy("workbook_id").agg(
+        F.coalesce(F.sum(F.when(holds & (F.col("sv.kind") == "number"), F.col("sv.num"))), F.lit(0.0)).alias("total"),
+        F.min(F.when(error.isNotNull(), F.struct("row_no", error.alias("err"))))["err"].alias("err"),
+    )
+    return found.select("workbook_id", F.when(F.col("err").isNull(), F.col("total")).alias("total"), "err")
+
+
+def count_if_criteria(cells: DataFrame, sheet: str, tested: str, rows: tuple[int, int], criteria: str) -> DataFrame:
+    typed = _criteria_rows(cells, sheet, tested, tested, rows)
+    holds = criteria_holds(A.cell_text(F.col("tv")), criteria) & (F.col("tv.kind") != "error")
+    found = typed.groupBy("workbook_id").agg(
+        F.count_if(holds).alias("n"),
+        F.min(F.when(F.col("tv.err").isNotNull(), F.struct("row_no", F.col("tv.err").alias("err"))))["err"].alias("err"),
+    )
+    return found.select("workbook_id", F.when(F.col("err").isNull(), F.col("n")).alias("n"), "err")
+
+
+def range_rows(cells: DataFrame, sheet: str, first_col: str, value_col: str) -> DataFrame:
+    """Per workbook the rows of a two-column table in order, as one array.
+
+    The grid ends at row 40, so an array holds at most 40 entries whatever the data size.
+    """
+    inside = cells.filter(
+        (F.lower("sheet") == sheet.lower()) & F.col("row_no").between(1, LAST_ROW) & F.col("col").isin(first_col, value_col)
+    )
+    pair = inside.groupBy("workbook_id", "row_no").agg(
+        F.max(F.when(F.col("col") == first_col, F.col("text"))).alias("k"),
+        F.max(F.when(F.col("col") == value_col, F.col("text"))).alias("v"),
+    )
+    return pair.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "k", "v"))).alias("rows"))
+
+
+NO_ROWS = "array<struct<row_no:int,k:string,v:string>>"
+
+
+def _with_rows(keys: DataFrame, tables: DataFrame, key: str) -> DataFrame:
+    joined = keys.join(tables, "workbook_id", "left")
+    return joined.withColumn("rows", F.coalesce("rows", F.array().cast(NO_ROWS))).withColumn("__key", A.numeric_cell(F.col(key)))
+
+
+def _is_error(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).startswith("#")
+
+
+def _equal_row(r: Column, key: Column) -> Column:
+    return (F.coalesce(r["k"], F.lit("")) != "") & A.cell_equal(A.numeric_cell(r["k"]), key)
+
+
+def _not_above(r: Column, key: Column) -> Column:
+    cell = A.numeric_cell(r["k"])
+    return (cell["kind"] == key["kind"]) & (cell["kind"] != "blank") & (A.cell_compare(cell, key) <= 0)
+
+
+def _shown(hit: Column, value: Column) -> Column:
+    """The value of a hit, the error the search ran into, or ``#N/A``."""
+    return F.when(hit.isNull(), "#N/A").when(_is_error(hit["k"]), hit["k"]).otherwise(F.coalesce(value, F.lit("")))
+
+
+def _first_exact(key: Column) -> Column:
+    """First row that equals the key, or the first error met on the way."""
+    return F.get(F.filter("rows", lambda r: _is_error(r["k"]) | _equal_row(r, key)), F.lit(0))
+
+
+def _last_not_above(key: Column) -> Column:
+    """Last row in table order not above the key; an error anywhere in the column comes first."""
+    errors = F.filter("rows", lambda r: _is_error(r["k"]))
+    hits = F.filter("rows", lambda r: _not_above(r, key))
+    return F.when(F.size(errors) > 0, F.get(errors, F.lit(0))).otherwise(F.get(hits, F.size(hits) - 1))
+
+
+def _lookup(keys: DataFrame, tables: DataFrame, key: str, col_no: int, search) -> DataFrame:
+    found = _with_rows(keys, tables, key).withColumn("__hit", search(F.col("__key")))
+    if not 1 <= col_no <= 2:
+        shown = F.lit("#REF!")
+    else:
+        shown = _shown(F.col("__hit"), F.col("__hit")["k" if col_no == 1 else "v"])
+    return found.withColumn("found", shown).drop("rows", "__key", "__hit")
+
+
+def lookup_exact(keys: DataFrame, tables: DataFrame, key: str, col_no: int = 2) -> DataFrame:
+    """Value beside the first row whose first column equals the key."""
+    return _lookup(keys, tables, key, col_no, _first_exact)
+
+
+def lookup_approx(keys: DataFrame, tables: DataFrame, key: str, col_no: int = 2) -> DataFrame:
+    """Value beside the last row, in table order, whose first column has the key's type and does not exceed it."""
+    return _lookup(keys, tables, key, col_no, _last_not_above)
+
+
+def match_position(keys: DataFrame, tables: DataFrame, key: str, kind: int = 1) -> DataFrame:
+    """1-based position of the first equal entry (kind 0) or the last entry not above the key (kind 1)."""
+    if kind not in (0, 1):
+        return keys.withColumn("found", F.lit("#VALUE!"))
+    search = _last_not_above if kind else _first_exact
+    found = _with_rows(keys, tables, key).withColumn("__hit", search(F.col("__key")))
+    return found.withColumn("found", _shown(F.col("__hit"), F.col("__hit")["row_no"].cast("string"))).drop("rows", "__key", "__hit")
+
+
+def index_cell(cells: DataFrame, wanted: DataFrame, sheet: str, first: str, last: str) -> DataFrame:
+    """Cell at a 1-based row and column of a range; outside it ``#REF!``, an empty place is blank."""
+    c1, r1, c2, r2 = ord(first[0]) - 64, int(first[1:]), ord(last[0]) - 64, int(last[1:])
+    placed = range_cells(cells, sheet, first, last).select(
+        "workbook_id",
+        (F.col("row_no") - r1 + 1).alias("r"),
+        (column_number(F.col("col")) - c1 + 1).alias("c"),
+        "text",
+    )
+    joined = wanted.join(placed, ["workbook_id", "r", "c"], "left")
+    inside = F.col("r").between(1, r2 - r1 + 1) & F.col("c").between(1, c2 - c1 + 1)
+    return joined.withColumn("found", F.when(inside, F.coalesce("text", F.lit(""))).otherwise("#REF!")).drop("text")
+
+
+def cell_reference_edges(cells: DataFrame) -> DataFrame:
+    """``(workbook_id, from_ref, to_ref)`` for every reference in a formula; ranges are expanded."""
+    formulas = cells.filter(F.substring(F.trim("text"), 1, 1) == "=")
+    body = F.regexp_replace(F.trim("text"), '"[^"]*"', "")
+    tokens = formulas.select(
+        "workbook_id",
+        "sheet",
+        F.concat(F.lower("sheet"), F.lit("!"), F.upper("col"), F.col("row_no").cast("string")).alias("from_ref"),
+        F.explode(F.regexp_extract_all(body, F.lit(rf"(?:{CELL})(?:\s*:\s*{CELL})?"), F.lit(0))).alias("token"),
+    )
+    ends = F.split(F.regexp_replace("token", r"\s", ""), ":")
+    start, stop = split_cell_ref(F.get(ends, F.lit(0))), split_cell_ref(F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))))
+    span = tokens.select(
+        "workbook_id",
+        "from_ref",
+        F.when(start["sheet"] == "", F.col("sheet")).otherwise(start["sheet"]).alias("sheet"),
+        F.least(column_number(start["col"]), column_number(stop["col"])).alias("c1"),
+        F.greatest(column_number(start["col"]), column_number(stop["col"])).alias("c2"),
+        F.least(start["row"], stop["row"]).alias("r1"),
+        F.greatest(start["row"], stop["row"]).alias("r2"),
+    )
+    grid = span.select("workbook_id", "from_ref", "sheet", "r1", "r2", F.explode(F.sequence("c1", "c2")).alias("c"))
+    filled = grid.select("workbook_id", "from_ref", "sheet", "c", F.explode(F.sequence("r1", "r2")).alias("r"))
+    letter = F.element_at(F.array(*[F.lit(c) for c in COLUMNS]), F.col("c"))
+    return filled.select(
+        "workbook_id", "from_ref", F.concat(F.lower("sheet"), F.lit("!"), letter, F.col("r").cast("string")).alias("to_ref")
+    ).distinct()
+
+
+def cell_cycles(edges: DataFrame, max_depth: int = 60) -> DataFrame:
+    """Cells that reach themselves.
+
+    Paths double in length every round, so 60 levels need six rounds; each round is cut by a
+    checkpoint. Only references to cells that hold formulas themselves can lie on a cycle.
+    """
+    from vetloom.session import checkpoint_dir
+
+    checkpoint_dir(edges.sparkSession)
+    sources = edges.select("workbook_id", F.col("from_ref").alias("to_ref")).distinct()
+    reach = edges.join(sources, ["workbook_id", "to_ref"], "left_semi").select("workbook_id", "from_ref", "to_ref")
+    reach = reach.distinct().checkpoint()
+    length = 1
+    while length < max_depth:
+        left = reach.select("workbook_id", "from_ref", F.col("to_ref").alias("via"))
+        right = reach.select("workbook_id", F.col("from_ref").alias("via"), "to_ref")
+        step = left.join(right, ["workbook_id", "via"]).select("workbook_id", "from_ref", "to_ref")
+        reach = reach.unionByName(step).distinct().checkpoint()
+        length *= 2
+    return reach.filter(F.col("from_ref") == F.col("to_ref")).select("workbook_id", F.col("from_ref").alias("cell"))
