@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("scalars", "projections", "predicates", "joins")
+SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets")
 
 
 def load_all() -> None:

@@ -223,10 +223,9 @@ def _(t):
 
 @query(
     "sort_study",
-    """select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by case when o_orderstatus = 'P' then 0 else year(o_orderdate) end desc, o_orderkey) as rows
-    from orders group by 1""",
+    """select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by case when o_orderstatus = 'P' then 0
+      else year(o_orderdate) end desc, o_orderkey) as place from orders""",
 )
 def _(t):
     rows = t.orders.withColumn("year", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")))
-    study = P.sort_study(rows, "o_custkey", "year", "o_orderkey", ["o_totalprice"])
-    return study.select("o_custkey", F.array_join(F.transform("rows", lambda r: r["p"].cast("string")), ",").alias("rows"))
+    return P.sort_study(rows, "o_custkey", "year", "o_orderkey").select("o_custkey", "o_orderkey", "place")

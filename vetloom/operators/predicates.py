@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vetloom.functions import text as X
 from vetloom.functions.identity import valid_slug
@@ -122,8 +123,6 @@ def longest_first(names: DataFrame) -> DataFrame:
     """Dictionary order for matching: longer names first, then by name, with the position as a column."""
     size = F.length("name")
     # Lengths are few, so the order is a count per length plus a rank inside one length.
-    from pyspark.sql.window import Window
-
     inside = F.row_number().over(Window.partitionBy("__size").orderBy("name"))
     sized = names.withColumn("__size", size)
     longer = sized.groupBy("__size").agg(F.count("*").alias("__n"))
@@ -133,7 +132,7 @@ def longest_first(names: DataFrame) -> DataFrame:
     return ranked.withColumn("position", F.col("__before") + F.col("__inside")).drop("__size", "__n", "__inside", "__before")
 
 
-def sort_study(rows: DataFrame, key: str, year: str, position: str, item: Sequence[str]) -> DataFrame:
-    """Study rows per record, newest year first, missing years last, ties in written order."""
-    order = F.struct((-F.coalesce(F.col(year), F.lit(0))).alias("y"), F.col(position).alias("p"), *item)
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("rows"))
+def sort_study(rows: DataFrame, key: str, year: str, position: str) -> DataFrame:
+    """Place of every study row in its record: newest year first, missing years last, ties as written."""
+    keyed = rows.withColumn("__age", -F.coalesce(F.col(year), F.lit(0)))
+    return scans.number_rows(keyed, [key], ["__age", position], F.col("__age"), "place").drop("__age")
