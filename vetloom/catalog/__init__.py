@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets")
+SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets", "review", "redaction")
 
 
 def load_all() -> None:

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from vetloom.functions import text as X
 from vetloom.plans import scans
 
-NO_BREAK_SPACE = "\u00a0"
-ZERO_WIDTH = r"[\u200b-\u200d\u2060\ufeff]"
-
-
 def readable_text(df: DataFrame, column: str) -> DataFrame:
     """Keep text of at least 20 characters of which more than 35 % are letters."""
     letters = F.length(F.regexp_replace(F.col(column), "[^A-Za-z]", ""))
@@ -24,7 +20,7 @@ def readable_text(df: DataFrame, column: str) -> DataFrame:
 def clean_text(col: Column) -> Column:
     """Unix line ends, plain spaces, no zero-width marks, no trailing blanks, at most one blank line."""
     out = F.regexp_replace(col, "\r\n?", "\n")
-    out = F.regexp_replace(F.translate(out, NO_BREAK_SPACE, " "), ZERO_WIDTH, "")
+    out = F.regexp_replace(F.translate(out, X.NO_BREAK_SPACE, " "), X.ZERO_WIDTH, "")
     out = F.regexp_replace(out, "[ \t]+\n", "\n")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return X.trim_all(F.regexp_replace(out, "[ \t]+\n", "\n"))
