@@ -446,7 +446,13 @@ def sanitise_documents(
 
 
 def redaction_log(sanitised: DataFrame, key: str) -> DataFrame:
-    return sanitised.select(key, F.posexplode("log").alias("position", "e")).select(key, "position", "e.*")
+    """One row per log entry.
+
+    The outer form keeps the planner from copying the whole rule chain into an "array is not
+    empty" filter below the projections; documents without entries drop out afterwards.
+    """
+    rows = sanitised.select(key, F.posexplode_outer("log").alias("position", "e"))
+    return rows.filter(F.col("e").isNotNull()).select(key, "position", "e.*")
 
 
 LOG_TYPES = ["company_name", "email", "phone", "apply_link", "apply_phrase", "url", "bare_domain", "internal_ref",
@@ -476,4 +482,4 @@ def redaction_leaks(before: DataFrame, after: DataFrame, key: str, column: str,
     left = F.filter(
         F.array_distinct(F.transform("__found", F.lower)), lambda m: F.lower(F.col(column)).contains(m) & ~_contains_any(m, keep)
     )
-    return joined.select(key, F.explode(left).alias("leak"))
+    return joined.select(key, F.explode_outer(left).alias("leak")).filter(F.col("leak").isNotNull())
