@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets", "review", "redaction")
+SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets", "review", "redaction", "records")
 
 
 def load_all() -> None:

@@ -274,3 +274,12 @@ DUCKDB_ONLY: dict[str, str] = {
           (7, 'match', 'b', 'reconciliation', 'core', 2)) i(item_id, type, section, category, level, points),
           range(1, 6) r(d)""",
 }
+
+
+def records_v(t) -> DataFrame:
+    from vetloom.sources import records
+
+    return t.spark.sql(records.spark_sql(), customer=t.customer, nation=t.nation)
+
+
+BUILDERS["records_v"] = records_v
