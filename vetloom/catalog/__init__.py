@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-SECTIONS = ("scalars", "projections", "predicates", "joins", "scoring", "windows", "sets", "review", "redaction", "records")
+SECTIONS = (
+    "scalars", "projections", "predicates", "joins", "scoring", "windows", "sets", "review", "redaction", "records", "rules", "streams",
+)
 
 
 def load_all() -> None:

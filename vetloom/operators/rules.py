@@ -360,13 +360,15 @@ def check_record(records: DataFrame, key: str = "record_id") -> DataFrame:
                 ),
             )
         )
-        listed = [
-            F.flatten(F.transform(r[n], lambda b, j, n=n: bullet_findings(F.concat(at, F.lit(f".{n}["), j.cast("string"), F.lit("]")), b, False)))
-            for n in ("responsibilities", "achievements")
-        ]
+
+        def listed(n: str) -> Column:
+            return F.flatten(
+                F.transform(r[n], lambda b, j: bullet_findings(F.concat(at, F.lit(f".{n}["), j.cast("string"), F.lit("]")), b, False))
+            )
+
         return F.concat(
             own, F.coalesce(range_findings(F.concat(at, F.lit(".duration")), r["duration"]), none), per_title,
-            contact_findings(F.concat(at, F.lit(".context")), r["context"]), *listed,
+            contact_findings(F.concat(at, F.lit(".context")), r["context"]), listed("responsibilities"), listed("achievements"),
             F.transform(repeats, lambda b: finding(at, "duplicated bullet", "warning", F.lit(True))),
         )
 
