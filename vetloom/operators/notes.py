@@ -29,7 +29,8 @@ def _pattern(marker: Column) -> Column:
 
 
 def has_marker(note: Column, marker: Column) -> Column:
-    return F.regexp_like(note, _pattern(marker))
+    # The plain search spares compiling a pattern for every marker that is not in the note at all.
+    return F.when(note.contains(marker), F.regexp_like(note, _pattern(marker))).otherwise(False)
 
 
 def _negated(before: Column) -> Column:
@@ -39,6 +40,10 @@ def _negated(before: Column) -> Column:
 
 def has_unnegated(note: Column, marker: Column) -> Column:
     """Some whole-word occurrence without a negator before it in its own clause."""
+    return F.when(note.contains(marker), _clean_occurrence(note, marker)).otherwise(False)
+
+
+def _clean_occurrence(note: Column, marker: Column) -> Column:
     parts = F.split(note, _pattern(marker), -1)
     places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
     return F.exists(places, lambda i: ~_negated(F.call_function("array_join", F.slice(parts, F.lit(1), i), marker)))

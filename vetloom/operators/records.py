@@ -183,6 +183,12 @@ def _may_head(line: Column) -> Column:
     ) & (F.length(line) <= 90) & ~F.regexp_like(line, F.lit(X.BULLET)) & _sub_heading(line).isNull() & ~F.regexp_like(line, F.lit("[.!?]$"))
 
 
+def _may_date(line: Column) -> Column:
+    """A cheap look before the full range is read: no bullet, and a digit or an open-end word."""
+    hint = F.regexp_like(line, F.lit(r"(?i)\d|present|current|to date|ongoing|now"))
+    return ~F.regexp_like(line, F.lit(X.BULLET)) & hint
+
+
 def role_anchors(sections: DataFrame, key: str) -> DataFrame:
     """Role blocks of the experience section: ``(key, role_no, heading, dates, precision, body)``.
 
@@ -192,7 +198,7 @@ def role_anchors(sections: DataFrame, key: str) -> DataFrame:
     own = sections.filter("section = 'experience'").select(key, "part_no", rewrap(F.col("lines")).alias("lines"))
     marked = own.withColumn(
         "marks",
-        F.transform("lines", lambda l: F.struct(l.alias("line"), F.when(~F.regexp_like(l, F.lit(X.BULLET)), D.parse_date_range(l)).alias("range"), _may_head(l).alias("head"))),
+        F.transform("lines", lambda l: F.struct(l.alias("line"), F.when(_may_date(l), D.parse_date_range(l)).alias("range"), _may_head(l).alias("head"))),
     )
     at = marked.withColumn("anchors", F.filter(F.transform("marks", lambda m, i: F.when(m["range"].isNotNull(), i)), lambda i: i.isNotNull()))
 
