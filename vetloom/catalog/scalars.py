@@ -256,6 +256,11 @@ def _(t):
     return src.select("*", X.parse_reference(F.col("code")).alias("parsed"), X.reference_key(F.col("code")).alias("code_key"))
 
 
+@query("reference_key", "select s_suppkey, regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') as code_key from supplier")
+def _(t):
+    return t.supplier.select("s_suppkey", X.reference_key(F.col("s_name")).alias("code_key"))
+
+
 @query(
     "split_references",
     r"""select doc_id, array_to_string(regexp_extract_all(text, '\b[A-Z]{2,}-\d+\b'), '|') as codes,

@@ -1,9 +1,8 @@
-"""Size checks for everything that is collected or broadcast."""
+"""Size check for everything that is collected to the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MAX_DICTIONARY_ROWS = 20_000
 
@@ -12,8 +11,3 @@ def small_rows(df: DataFrame, limit: int = MAX_DICTIONARY_ROWS) -> list | None:
     """The rows when there are at most ``limit`` of them, else ``None``; never moves more than limit + 1."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """A broadcast hint only after counting at most ``limit`` + 1 rows; otherwise the plan decides."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -30,9 +30,10 @@ def local_session(cores: str | int = 8, name: str = "vetloom", **extra: str) ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="vetloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
-    return named
+    active = context.getCheckpointDir()
+    if active is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vetloom-ckpt-"))
+        active = context.getCheckpointDir()
+    return named or active
