@@ -26,6 +26,8 @@ from vetloom.llm.shared import bounded_batches, id_and_bytes, steps
 WINDOW = 13
 #: Benchmark words in one broadcast block.
 BLOCK_WORDS = 500_000
+#: Blocks that a worker keeps in memory; with more, each is read again from the executor's copy for every shard.
+KEPT_BLOCKS = 4
 #: Lower-case letters, digits and all bytes outside ASCII stay; other bytes become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,10 +46,12 @@ class Block:
         numbers = [[number(w, len(self.vocabulary)) for w in words] for _, words in items]
         self.shortest = min([window, *map(len, numbers)])
         self.words = np.array([x for n in numbers for x in (*n, -1)] + [-1], dtype=np.int64)
+        self.starts: list[int] = []
         found: dict[tuple, list[tuple[int, int]]] = {}
         at = 0
         for item, n in enumerate(numbers):
             width = min(window, len(n))
+            self.starts.append(at)
             for i in range(len(n) - width + 1):
                 found.setdefault(tuple(n[i : i + width]), []).append((item, at + i))
             at += len(n) + 1
@@ -152,6 +156,27 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int =
         yield Block(items, window)
 
 
+def find_matches(texts: list[bytes], block: Block) -> list[tuple[int, str, int, int, int]]:
+    """``text, item, text word, item word, length`` of the verbatim matches that no longer one holds, words from 0 on."""
+    split = [words_of(t) for t in texts]
+    size = np.array([len(w) + 1 for w in split], dtype=np.int64)
+    start = np.cumsum(size) - size
+    numbers = np.fromiter((x for w in split for x in (*[block.vocabulary.get(v, -1) for v in w], -1)), np.int64, int(size.sum()))
+    at, window, _ = shard_matches(numbers, block)
+    out = []
+    for a, w in zip(at.tolist(), window.tolist()):
+        text = int(np.searchsorted(start, a, side="right")) - 1
+        for item, b in block.places[w]:
+            first = b - block.starts[item]
+            if a > start[text] and first > 0 and numbers[a - 1] == block.words[b - 1]:
+                continue  # begins earlier
+            n = int(block.widths[w])
+            while numbers[a + n] >= 0 and numbers[a + n] == block.words[b + n]:
+                n += 1
+            out.append((text, block.names[item], int(a - start[text]), int(first), n))
+    return sorted(out)
+
+
 def _report(texts: list[bytes], shipped: list) -> list[tuple[int, int, list[str], int]]:
     """Words, hit words, names of the items met and the longest match, per text."""
     split = [words_of(t) for t in texts]
@@ -162,6 +187,8 @@ def _report(texts: list[bytes], shipped: list) -> list[tuple[int, int, list[str]
     longest = np.zeros(len(texts), dtype=np.int64)
     for share in shipped:
         block: Block = share.value
+        if len(shipped) > KEPT_BLOCKS:
+            share.__dict__.pop("_value", None)
         get = block.vocabulary.get
         numbers = np.fromiter((x for w in split for x in (*[get(v, -1) for v in w], -1)), np.int64, int(size.sum()))
         at, window, length = shard_matches(numbers, block)
@@ -177,6 +204,33 @@ def _report(texts: list[bytes], shipped: list) -> list[tuple[int, int, list[str]
     ]
 
 
+def matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """One row per longest verbatim match: ``doc_id, item_id`` (as text), the first words of the match, and its length."""
+    bounded_batches(docs.sparkSession)
+    shipped = _shipped(docs, benchmark, item_col, item_text)
+    rows = id_and_bytes(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in steps(batches):
+            for share in shipped:
+                found = find_matches(texts, share.value)
+                if len(shipped) > KEPT_BLOCKS:
+                    share.__dict__.pop("_value", None)
+                columns = list(zip(*found)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[i] for i in columns[0]], to_arrow_type(kind)), pa.array(columns[1], pa.string()),
+                        *(pa.array(c, pa.int64()) for c in columns[2:]),
+                    ],
+                    names=["doc_id", "item_id", "doc_word", "item_word", "length"],
+                )
+
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, item_id string, doc_word long, item_word long, length long")
+
+
 def _shipped(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> list:
     context = docs.sparkSession.sparkContext
     return [context.broadcast(b) for b in blocks(benchmark, item_col, item_text)]
