@@ -8,10 +8,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from vetloom.session import local_session
 
-    session = local_session(8, "vetloom-tests")
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(8, "vetloom-tests", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
 

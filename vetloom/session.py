@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,11 +30,17 @@ def local_session(cores: str | int = 8, name: str = "vetloom", **extra: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A session on one host without that setting gets a temporary folder; a cluster without it is an error, because its
+    executors can't share such a folder.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     active = context.getCheckpointDir()
     if active is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vetloom-ckpt-"))
         active = context.getCheckpointDir()
     return named or active
