@@ -41,16 +41,16 @@ def _(t):
 
 def cell_pairs(t):
     """Two cells of one row side by side."""
-    left = t.cells_v.filter("col in ('A', 'B', 'C')").select("workbook_id", "row_no", F.col("col").alias("lc"), F.col("text").alias("lt"))
-    right = t.cells_v.filter("col in ('B', 'C', 'D')").select("workbook_id", "row_no", F.col("col").alias("rc"), F.col("text").alias("rt"))
-    both = left.join(right, ["workbook_id", "row_no"]).filter("lc <= rc")
+    row = t.cells_v.groupBy("workbook_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"))
+    names = [(a, b) for a in "ABC" for b in "BCD" if a <= b]
+    sides = [F.struct(F.lit(a).alias("lc"), F.col("cells")[a].alias("lt"), F.lit(b).alias("rc"), F.col("cells")[b].alias("rt")) for a, b in names]
+    both = row.select("workbook_id", "row_no", F.inline(F.array(*sides)))
     return both.withColumn("a", A.numeric_cell(F.col("lt"))).withColumn("b", A.numeric_cell(F.col("rt")))
 
 
 PAIR_SQL = f"""
-    pairs as (select l.workbook_id, l.row_no, l.col as lc, l.text as lt, r.col as rc, r.text as rt from cells_v l
-      join cells_v r on l.workbook_id = r.workbook_id and l.row_no = r.row_no
-      where l.col in ('A', 'B', 'C') and r.col in ('B', 'C', 'D') and l.col <= r.col),
+    pairs as (select workbook_id, row_no, unnest(['A', 'A', 'A', 'B', 'B', 'B', 'C', 'C']) as lc, unnest([a, a, a, b, b, b, c, c]) as lt,
+      unnest(['B', 'C', 'D', 'B', 'C', 'D', 'C', 'D']) as rc, unnest([b, c, d, b, c, d, c, d]) as rt from wide_v),
     {cell_ctes('pairs', 'lt', 'pa', 'a_')}, {cell_ctes('pa', 'rt', 'pb', 'b_')}"""
 PAIR_COLS = ["workbook_id", "row_no", "lc", "rc"]
 

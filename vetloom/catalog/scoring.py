@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vetloom.catalog.registry import SQL_VIEWS, query
@@ -179,11 +180,12 @@ def _(t):
 # ---- the earlier exercise format -----------------------------------------------------------
 
 def exercises(t):
-    """Stored exercise answers, one row per attempt, from at most seven lines each."""
+    """Stored exercise answers, one row per attempt, from its lines; of several lines for one question the last counts."""
     ref = F.concat(F.lit("T"), (F.col("l_partkey") % 8).cast("string"))
     choice = F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 == 0), "pay").otherwise(F.col("l_linestatus"))
-    rows = t.line_v.groupBy(F.col("l_orderkey").alias("attempt_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("l_linenumber").cast("string"), F.col("l_returnflag")))).alias("mcq"),
+    last = F.max_by("l_returnflag", "row_no").over(Window.partitionBy("l_orderkey", "l_linenumber"))
+    rows = t.line_v.withColumn("chosen", last).groupBy(F.col("l_orderkey").alias("attempt_id")).agg(
+        F.map_from_entries(F.collect_set(F.struct(F.col("l_linenumber").cast("string"), F.col("chosen")))).alias("mcq"),
         F.array_distinct(F.collect_list(ref)).alias("discrepancies"),
         F.array_distinct(F.array_sort(F.collect_list(F.struct(ref.alias("k"), choice.alias("v"))))).alias("pairs"),
     )
@@ -203,7 +205,8 @@ def exercise_key(t):
     "score_exercise",
     """with a as (select l_orderkey as attempt_id, l_linenumber, l_returnflag, 'T' || cast(l_partkey % 8 as varchar) as ref,
         case when l_returnflag = 'R' and l_partkey % 5 = 0 then 'pay' else l_linestatus end as choice from line_v),
-    q as (select attempt_id, 8 * count(*) filter (l_returnflag = case l_linenumber when 1 then 'N' when 2 then 'A' when 3 then 'N' when 4 then 'A' when 5 then 'R' end) as knowledge_score from a group by 1),
+    l as (select l_orderkey as attempt_id, l_linenumber, arg_max(l_returnflag, row_no) as l_returnflag from line_v group by 1, 2),
+    q as (select attempt_id, 8 * count(*) filter (l_returnflag = case l_linenumber when 1 then 'N' when 2 then 'A' when 3 then 'N' when 4 then 'A' when 5 then 'R' end) as knowledge_score from l group by 1),
     d as (select attempt_id, ref, min(choice) as choice from a group by 1, 2),
     r as (select attempt_id, count(*) filter (ref in ('T1', 'T2', 'T3')) as hits, count(*) filter (ref not in ('T1', 'T2', 'T3')) as false_positives,
       sum(case when ref = 'T1' and choice = 'O' then 7 when ref = 'T2' and choice = 'F' then 7 when ref = 'T3' and choice = 'O' then 6 else 0 end) as action_points,

@@ -26,10 +26,13 @@ SHARED_SQL: dict[str, str] = {
           case when o_orderstatus <> 'O' then o_orderdate + interval '1' day * cast(o_orderkey % 90 as int) end as closed_at
         from {orders}""",
     "line_v": """
-        select * from (
-          select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey,
-            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as pick
-          from {lineitem}) x where pick = 1""",
+        select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_shipdate, l_partkey, l_suppkey,
+          l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as int) as row_no
+        from {lineitem}""",
+    "saved_v": """
+        select l_orderkey, l_linenumber, max_by(l_returnflag, {WRITE}) as l_returnflag, max_by(l_linestatus, {WRITE}) as l_linestatus,
+          max_by(l_partkey, {WRITE}) as l_partkey, max_by(l_quantity, {WRITE}) as l_quantity
+        from {lineitem} group by l_orderkey, l_linenumber""",
     "answers_v": """
         select l_orderkey as attempt_id, l_linenumber as item_id, l_returnflag as single,
           l_returnflag as multi_1, l_linestatus as multi_2,
@@ -41,7 +44,7 @@ SHARED_SQL: dict[str, str] = {
           'grn' || case l_partkey % 3 when 0 then '-' when 1 then ' ' else '' end
             || cast(l_partkey % 20 as string) as code,
           l_returnflag as line_1, l_linestatus as line_2
-        from {line_v}""",
+        from {saved_v}""",
     "statement_v": """
         select o_orderkey as ref, o_totalprice as amount from {orders} where o_orderpriority <> '5-LOW'""",
     "ledger_v": """
@@ -58,23 +61,7 @@ SHARED_SQL: dict[str, str] = {
             when 5 then replace(replace(replace(grouped, ',', '~'), '.', ','), '~', '.')
             when 6 then '(' || plain || ')' when 7 then '-' || plain
             when 8 then substr(plain, 1, length(plain) - 3) || ',-' else 'about ' || plain end as amount_text
-        from (select *, {MONEY} as grouped, replace({MONEY}, ',', '') as plain from {line_v}) x""",
-    "cells_v": """
-        select l_orderkey as workbook_id, 'Data' as sheet, l_linenumber as row_no, col, text
-        from (
-          select l_orderkey, l_linenumber, 'A' as col, 'P' || cast(l_partkey % 50 as string) as text from {line_v}
-          union all
-          select l_orderkey, l_linenumber, 'B', cast(cast(l_quantity as int) as string) from {line_v}
-          union all
-          select l_orderkey, l_linenumber, 'C', l_returnflag from {line_v}
-          union all
-          select l_orderkey, l_linenumber, 'D', case when l_partkey % 97 = 0 then '#N/A' when l_partkey % 4 = 0 then ''
-            when l_partkey % 4 = 1 then 'note' when l_partkey % 4 = 2 then 'TRUE'
-            else cast(cast(l_tax * 100 as int) as string) end from {line_v}
-          union all
-          select l_orderkey, l_linenumber, 'E', '=$E$' || cast(case when l_orderkey % 20 = 0 then 8 - l_linenumber
-            else l_linenumber + 1 end as string) || '+SUM(B1:B3)*Data!a' || cast(l_linenumber as string)
-            from {line_v}) x""",
+        from (select *, {MONEY} as grouped, replace({MONEY}, ',', '') as plain from {lineitem}) x""",
     "notes_v": """
         select o_orderkey as note_id, case o_orderkey % 8
             when 0 then 'We will hold the refund' when 1 then 'Do not hold the refund'
@@ -188,6 +175,19 @@ SHARED_SQL: dict[str, str] = {
         from {orders}""",
 }
 
+# The five cells of a line; a line's number within its order is its row.
+_CELLS = {
+    "A": "'P' || cast(l_partkey % 50 as string)",
+    "B": "cast(cast(l_quantity as int) as string)",
+    "C": "l_returnflag",
+    "D": """case when l_partkey % 97 = 0 then '#N/A' when l_partkey % 4 = 0 then '' when l_partkey % 4 = 1 then 'note'
+        when l_partkey % 4 = 2 then 'TRUE' else cast(cast(l_tax * 100 as int) as string) end""",
+    "E": """'=$E$' || cast(case when l_orderkey % 20 = 0 then greatest(1, 8 - row_no) else row_no + 1 end as string)
+        || '+SUM(B1:B3)*Data!a' || cast(row_no as string)""",
+}
+# The write that counts, of several for one item: the last one, by all columns.
+_WRITE = "(l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"
+SHARED_SQL["saved_v"] = SHARED_SQL["saved_v"].replace("{WRITE}", _WRITE)
 _MONEY = {"spark": "format_number(l_extendedprice, 2)", "duckdb": "format('{{:,.2f}}', l_extendedprice)"}
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -256,7 +256,17 @@ def responses_v(t) -> DataFrame:
     )
 
 
+def cells_v(t) -> DataFrame:
+    """Every line as five cells of one row, from one scan."""
+    cells = ", ".join(f"named_struct('col', '{col}', 'text', {text})" for col, text in _CELLS.items())
+    return t.spark.sql(
+        f"select l_orderkey as workbook_id, 'Data' as sheet, row_no, col, text from {{line_v}} lateral view inline(array({cells})) c as col, text",
+        line_v=t.line_v,
+    )
+
+
 BUILDERS = {
+    "cells_v": cells_v,
     "numbered_events": numbered_events,
     "items_v": items_v,
     "key_v": key_v,
@@ -265,6 +275,9 @@ BUILDERS = {
 
 # The same builder views as the oracle reads them.
 DUCKDB_ONLY: dict[str, str] = {
+    "wide_v": "select l_orderkey as workbook_id, row_no, " + ", ".join(f"{text} as {col.lower()}" for col, text in _CELLS.items()) + " from line_v",
+    "cells_v": """
+        select workbook_id, 'Data' as sheet, row_no, unnest(['A', 'B', 'C', 'D', 'E']) as col, unnest([a, b, c, d, e]) as text from wide_v""",
     "numbered_events": "select *, row_number() over (partition by user_id order by ts, event_id) as rn from events",
     "items_v": """
         select d as definition_id, i.*, 'Question ' || item_id as prompt from (values
