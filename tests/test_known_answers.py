@@ -99,13 +99,46 @@ def test_scans_equal_plain_windows(tables):
     assert ours.select("event_id", "rn", "p").exceptAll(plain.withColumn("rn", F.col("rn").cast("bigint"))).count() == 0
 
 
-def test_large_dictionaries_take_the_join_and_agree(spark):
-    docs = spark.createDataFrame([(1, "Red ring and red ring box, blue ring"), (2, "no names")], "doc_id int, text string")
-    names = spark.createDataFrame([("Red Ring", "a"), ("Red Ring Box", "b"), ("Blue Ring", "c")], "name string, descriptor string")
-    fast = J.dictionary_mentions(docs, names, "doc_id", "text", endings=[" Ltd"])
-    joined = J.dictionary_mentions(docs, names, "doc_id", "text", endings=[" Ltd"], alternation_limit=1)
-    key = lambda df: sorted((r["doc_id"], r["name"], r["n"]) for r in df.collect())
-    assert key(fast) == key(joined) == [(1, "Blue Ring", 1), (1, "Red Ring", 1), (1, "Red Ring Box", 1)]
+MENTION_TEXTS = [
+    (1, "Acme Union Holdings hired. We saw Acme. Union of Acme-Union (Pty) Ltd"), (2, "Red ring and red ring box, blue ring"), (3, "no names"), (4, None),
+    (5, "ACME UNION LTD, acme union ltd; Acme Union Limitedx acme  union"), (6, "red ring box ltd red ring"), (8, "Blue Ring Group"), (7, "x_red ring red ringing"),
+]
+MENTIONS = {
+    (1, "Acme Union", "acme union holdings", 1), (8, "Blue Ring", "blue ring group", 1), (2, "Red Ring", "red ring", 1), (2, "Red Ring Box", "red ring box", 1),
+    (2, "Blue Ring", "blue ring", 1), (5, "Acme Union", "acme union ltd", 2), (5, "Acme Union", "acme union", 1), (6, "Red Ring Box", "red ring box ltd", 1), (6, "Red Ring", "red ring", 1),
+}
+
+
+def test_mentions_are_the_same_for_dictionaries_of_every_size(spark):
+    docs = spark.createDataFrame(MENTION_TEXTS, "doc_id int, text string")
+    few = [("Red Ring", "a"), ("Red Ring Box", "b"), ("Blue Ring", "c"), ("Acme Union", "d")]
+    for names in (few, few + [(f"Zq{i} Works", "e") for i in range(5_000)]):
+        got = J.dictionary_mentions(docs, spark.createDataFrame(names, "name string, descriptor string"), "doc_id", "text")
+        assert {(r["doc_id"], r["name"], r["mention"], r["n"]) for r in got.collect()} == MENTIONS
+    assert J.dictionary_mentions(docs, spark.createDataFrame([], "name string, descriptor string"), "doc_id", "text").count() == 0
+
+
+def test_confidential_blocks_of_any_length_go_whole(spark):
+    block = "Internal notes:\n" + "\n".join(f"line {i} keep this to yourself" for i in range(80))
+    docs = spark.createDataFrame([(1, f"Start\n{block}\n\nRequirements\nTwo years"), (2, f"Start\n{block}")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in R.redact(docs, "text", R.confidential_blocks(R.House())).collect()}
+    assert got[1]["text"] == "Start\n\nRequirements\nTwo years" and got[2]["text"] == "Start\n"
+    assert len(block) > 2_000 and [e["match"] for e in got[1]["log"]] == [block] == [e["match"] for e in got[2]["log"]]
+
+
+def test_log_keeps_whole_matches_and_counts_them(spark):
+    link = "https://jobs.corp.com/" + "a" * 100
+    docs = spark.createDataFrame([(1, f"Apply here: {link}x or Apply here: {link}y or Apply here: {link}x")], "doc_id int, text string")
+    log = R.redact(docs, "text", R.apply_links(R.House())).first()["log"]
+    assert [(e["match"][-1], e["n"]) for e in log] == [("x", 2), ("y", 1)]
+
+
+def test_null_keys_are_a_group_in_scans(spark):
+    rows = spark.createDataFrame([(None, i, 1.0) for i in range(5)] + [(1, i, 2.0) for i in range(3)], "k int, at int, v double")
+    block = scans.block_chunk("at", 2)
+    done = scans.running_sum(scans.lag_columns(scans.number_rows(rows, ["k"], ["at"], block), ["k"], ["at"], block, {"at": "before"}), ["k"], ["at"], block, "v", "total")
+    got = sorted((r["k"] or 0, r["rn"], r["before"], r["total"]) for r in done.collect())
+    assert got == [(0, i + 1, i - 1 if i else None, i + 1.0) for i in range(5)] + [(1, i + 1, i - 1 if i else None, 2.0 * i + 2) for i in range(3)]
 
 
 def test_review_is_idempotent(tables):
@@ -114,13 +147,6 @@ def test_review_is_idempotent(tables):
     assert twice.filter("first <> text").count() == 0
 
 
-def test_broken_words(spark):
-    words = spark.createDataFrame([(w,) for w in ("manager", "them", "benefits", "assure")], "word string")
-    docs = spark.createDataFrame([("the m anager", "the manager"), ("as sure", "as sure"), ("ben efits ok", "benefits ok")], "t string, want string")
-    got = docs.select("want", V.merge_broken_words(words)(F.col("t")).alias("got"))
-    assert got.filter("want <> got").count() == 0
-
-
 def test_wrapped_lines(spark):
     cases = {"e-\ncommerce": "e-commerce", "a line\nand more": "a line and more", "Done.\nnext": "Done.\nnext", "Requirements\ntwo": "Requirements\ntwo", "1. item\nmore": "1. item\nmore", "how to\napply\nnow": "how to apply\nnow"}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", V.reflow_lines(F.col("t")).alias("o"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vetloom.catalog.predicates import NOW  # noqa: F401  (same clock)
 from vetloom.catalog.registry import query
+from vetloom.functions.phrases import literal
 from vetloom.operators import joins as J
 
 
@@ -31,13 +32,13 @@ def _(t):
     f"""with base as ({_ROSTER}), s as (select l_orderkey, string_agg(cast(rev as varchar), ',' order by rev, d) as saves from
       (select l_orderkey, l_linenumber as rev, l_shipdate as d, row_number() over (partition by l_orderkey order by l_linenumber, l_shipdate) as rn from lineitem) x where rn <= 200 group by 1),
     a as (select user_id, string_agg(event_type, ',' order by ts, event_id) as audit from
-      (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) x where rn <= 30 group by 1)
+      (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) x where rn <= 300 group by 1)
     select attempt_id, candidate, definition, score, saves, audit from base left join s on s.l_orderkey = attempt_id left join a on user_id = attempt_id""",
 )
 def _(t):
     saves = t.lineitem.select(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("revision"), F.col("l_shipdate").alias("saved_at"))
     audits = t.events.select(F.col("user_id").alias("attempt_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("audit_id"), "event_type")
-    report = J.attempt_report(*roster_inputs(t), saves, audits, audit_limit=30)
+    report = J.attempt_report(*roster_inputs(t), saves, audits)
     return report.select(
         "attempt_id", "candidate", "definition", "score",
         F.array_join(F.transform("saves", lambda s: s["revision"].cast("string")), ",").alias("saves"),
@@ -99,7 +100,7 @@ def _(t):
     return J.overlap_any(published, J.sentences(t.documents, ["source"], "text", "sentence"), "source")
 
 
-_ENDINGS = "|".join(J.literal(e) for e in J.CORPORATE_ENDINGS)
+_ENDINGS = "|".join(literal(e) for e in J.CORPORATE_ENDINGS)
 
 
 @query(

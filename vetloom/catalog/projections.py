@@ -10,7 +10,6 @@ from vetloom.catalog.registry import query
 from vetloom.catalog.sqltext import cell_ctes
 from vetloom.operators import projections as P
 from vetloom.operators import workbook as W
-from vetloom.sources.files import triage_files
 from vetloom.sources.tables import SCHEMAS, read_tables
 
 
@@ -22,11 +21,6 @@ def _(t):
     )
 
 
-@query("triage_files")
-def _(t):
-    return triage_files(t.spark, t.directory)
-
-
 @query(
     "readable_text",
     r"""select doc_id from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20
@@ -73,7 +67,7 @@ def _(t):
       {'r': 0, 'c': 0, 'text': p_name}, {'r': 0, 'c': 1, 'text': p_brand}, {'r': 1, 'c': 0, 'text': ''},
       {'r': 1, 'c': 1, 'text': p_type}, {'r': 2, 'c': 0, 'text': cast(p_size as varchar)}]) as x from part),
     g as (select p_partkey, p_partkey % 40 + 1 + x.r as row_no, p_partkey % 10 + 1 + x.c as col_no, x.text as text from c)
-    select p_partkey, row_no, chr(cast(64 + col_no as int)) as col, text from g where row_no <= 40 and col_no <= 10""",
+    select p_partkey, row_no, chr(cast(64 + col_no as int)) as col, text, row_no <= 40 and col_no <= 10 and length(text) <= 200 as fits from g""",
 )
 def _(t):
     anchor = F.concat(F.char((F.col("p_partkey") % 10 + 65)), (F.col("p_partkey") % 40 + 1).cast("string"))
@@ -91,8 +85,8 @@ def _(t):
         order by o_orderkey, o_totalprice) as rn from orders where o_orderstatus <> 'P')
     select distinct scenario, 1 as row_no, unnest(['A', 'B']) as col, unnest(['Statement reference', 'Statement amount']) as text from l
     union all select distinct scenario, 1, unnest(['D', 'E']), unnest(['Ledger reference', 'Ledger amount']) from r
-    union all select scenario, rn + 1, unnest(['A', 'B']), unnest([cast(ref as varchar), cast(cast(amount as decimal(18,2)) as varchar)]) from l where rn <= 19
-    union all select scenario, rn + 1, unnest(['D', 'E']), unnest([cast(ref as varchar), cast(cast(amount as decimal(18,2)) as varchar)]) from r where rn <= 19""",
+    union all select scenario, rn + 1, unnest(['A', 'B']), unnest([cast(ref as varchar), cast(cast(amount as decimal(18,2)) as varchar)]) from l
+    union all select scenario, rn + 1, unnest(['D', 'E']), unnest([cast(ref as varchar), cast(cast(amount as decimal(18,2)) as varchar)]) from r""",
 )
 def _(t):
     base = t.orders.select(

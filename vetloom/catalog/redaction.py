@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vetloom.catalog.registry import SQL_VIEWS, query
 from vetloom.catalog.review import LEGACY, q, review_ctes, sql_cut, sql_each
 from vetloom.functions import patterns as R
+from vetloom.functions.phrases import literal
 from vetloom.operators import joins as J
 from vetloom.operators import redaction as D
 from vetloom.operators import review as V
@@ -50,11 +51,9 @@ def s_contains(text: str, words) -> str:
     return "(" + " or ".join(f"contains(lower({text}), '{w}')" for w in words) + ")"
 
 
-def s_simple(kind, pattern, token, confidence, clip=None):
+def s_simple(kind, pattern, token, confidence):
     def build(text: str) -> tuple[str, str]:
-        found = s_matches(text, pattern)
-        shown = f"list_transform({found}, lambda m: substr(m, 1, {clip}))" if clip else found
-        return s_entries(shown, kind, f"'{token}'", confidence), f"regexp_replace({text}, '{q(pattern)}', '{token}', 'g')"
+        return s_entries(s_matches(text, pattern), kind, f"'{token}'", confidence), f"regexp_replace({text}, '{q(pattern)}', '{token}', 'g')"
 
     return build
 
@@ -63,9 +62,11 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 def s_confidential(text: str) -> tuple[str, str]:
-    whole = f"({R.CONFIDENTIAL_BLOCK})({R.BLOCK_END})"
-    found = f"list_transform(list_filter(regexp_extract_all({text}, '{q(whole)}', 1), lambda m: length({_STRIP.format('m')}) between 11 and 799), lambda m: substr(m, 1, 80))"
-    return s_entries(found, "confidential_section", "'[Internal section removed]'", "high"), rf"regexp_replace({text}, '{q(whole)}', chr(10) || '\2', 'g')"
+    line = rf"""case when regexp_matches(l, '{q(R.CONFIDENTIAL_LINE)}') then chr(1) || 'H' || l when regexp_matches(l, '{q(R.SECTION_END_LINE)}') then chr(1) || 'E' || l else l end"""
+    pieces = f"string_split('E' || array_to_string(list_transform(string_split(replace({text}, chr(1), ''), chr(10)), lambda l: {line}), chr(10)), chr(1))"
+    found = f"list_transform(list_filter({pieces}, lambda p: p like 'H%'), lambda p: {_STRIP.format('substr(p, 2)')})"
+    kept = f"array_to_string(list_transform(list_filter({pieces}, lambda p: p like 'E%'), lambda p: substr(p, 2)), '')"
+    return s_entries(found, "confidential_section", "'[Internal section removed]'", "high"), kept
 
 
 _KEEP = [HOUSE.own, *HOUSE.keep]
@@ -78,7 +79,7 @@ def s_emails(text: str) -> tuple[str, str]:
 
 def s_phrases(text: str) -> tuple[str, str]:
     own = [HOUSE.own]
-    found = f"list_transform(list_filter({s_matches(text, R.APPLY_PHRASE)}, lambda m: not {s_contains('m', own)}), lambda m: substr({_STRIP.format('m')}, 1, 50))"
+    found = f"list_transform(list_filter({s_matches(text, R.APPLY_PHRASE)}, lambda m: not {s_contains('m', own)}), lambda m: {_STRIP.format('m')})"
     return s_entries(found, "apply_phrase", f"'{HOUSE.apply}'", "medium"), sql_each(text, R.APPLY_PHRASE, f"case when {s_contains('p', own)} then p else '{HOUSE.apply}' end")
 
 
@@ -135,13 +136,13 @@ def s_instruction(text: str) -> tuple[str, str]:
 SQL_STEPS = {
     "redact_confidential_blocks": (D.confidential_blocks, s_confidential),
     "redact_emails": (D.emails, s_emails),
-    "redact_apply_links": (D.apply_links, s_simple("apply_link", R.APPLY_LINK, HOUSE.apply, "high", 60)),
+    "redact_apply_links": (D.apply_links, s_simple("apply_link", R.APPLY_LINK, HOUSE.apply, "high")),
     "redact_apply_phrases": (D.apply_phrases, s_phrases),
     "redact_urls": (D.urls, s_urls),
     "redact_bare_domains": (D.bare_domains, s_domains),
     "redact_phones": (D.phones, s_phones),
     "redact_contact_names": (D.contact_names, s_contacts),
-    "redact_references": (D.references, s_simple("internal_ref", R.INTERNAL_REFERENCE, HOUSE.reference_removed, "high", 40)),
+    "redact_references": (D.references, s_simple("internal_ref", R.INTERNAL_REFERENCE, HOUSE.reference_removed, "high")),
     "redact_addresses": (D.addresses, s_simple("address", R.ADDRESS, HOUSE.location_removed, "medium")),
     "redact_registration_numbers": (D.registration_numbers, s_simple("sensitive_number", R.REGISTRATION, HOUSE.registration_removed, "high")),
     "redact_id_numbers": (D.id_numbers, s_simple("id_number", R.ID_NUMBER, HOUSE.id_removed, "high")),
@@ -188,7 +189,7 @@ _DECLARED = f"""coalesce({_struct(rf"list_filter({_first_distinct(_GROUPS(R.DECL
     rf"and not regexp_matches(n, '{R.ROLE_WORDS_DECLARED}') and len(regexp_split_to_array(n, '\s+')) <= 6)")}, {_NONE})"""
 _UNKNOWN = f"""coalesce({_struct(rf"list_filter({_first_distinct(_GROUPS(R.UNKNOWN_NAME))}, lambda n: length(n) between 3 and 60 and not regexp_matches(n, '{R.GENERIC_WORDS}|northstar') "
     rf"and not regexp_matches(n, '{R.ROLE_WORDS_UNKNOWN}'))")}, {_NONE})"""
-_TAIL = "|".join(J.literal(e) for e in J.CORPORATE_ENDINGS)
+_TAIL = "|".join(literal(e) for e in J.CORPORATE_ENDINGS)
 _PATTERN = rf"""pat as (select '(?i)\b(' || string_agg(name, '|' order by length(name) desc, name) || ')({q(_TAIL)})?\b' as pat, map_from_entries(list((lower(name), descriptor))) as dict from names_v)"""
 _KNOWN_RAW = """list_transform(range(1, len(regexp_extract_all(text, pat, 0)) + 1), lambda i: {'mention': regexp_extract_all(text, pat, 0)[i],
     'descriptor': dict[lower(regexp_extract_all(text, pat, 1)[i])], 'confidence': 'high'})"""
@@ -226,8 +227,9 @@ def _with_mentions(t, mentions):
 
 @query("redact_dictionary_names", _names_sql(_KNOWN))
 def _(t):
-    names = [(r["name"], r["descriptor"]) for r in D.bounded.small_rows(t.names_v, 2_000)]
-    return _with_mentions(t, D.known_mentions(F.col("text"), names))
+    docs = D.with_known_mentions(texts(t).withColumn("log", F.array().cast(D.LOG_TYPE)), "doc_id", "text", t.names_v)
+    logged = docs.withColumn("log", F.concat("log", D.mentions_log(F.col("text"), F.col("__known"))))
+    return shown(logged.withColumn("text", D.replace_mentions(F.col("text"), F.col("__known"))))
 
 
 @query("redact_declared_names", _names_sql(_DECLARED))
@@ -248,7 +250,7 @@ def _(t):
 def _collapsed(text: str) -> str:
     out = rf"regexp_replace(regexp_replace({text}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g')"
     for token in (HOUSE.contact_removed, HOUSE.reference_removed, HOUSE.link_removed):
-        t = J.literal(token)
+        t = literal(token)
         out = rf"regexp_replace({out}, '{t}\s*{t}', '{token}', 'g')"
     return _STRIP.format(out)
 

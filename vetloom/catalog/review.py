@@ -89,23 +89,6 @@ def _(t):
     return V.review_text(reviewed(t), "text", legacy=LEGACY).select("doc_id", "text")
 
 
-def words(t):
-    return t.spark.createDataFrame([(w,) for w in ("benefits", "manager", "reports", "them", "thema", "growth")], "word string")
-
-
-@query(
-    "merge_broken_words",
-    "select doc_id, replace(replace(replace(text, 'ben efits', 'benefits'), 'm anager', 'manager'), 're ports', 'reports') as text from damaged_v",
-)
-def _(t):
-    return t.damaged_v.select("doc_id", V.merge_broken_words(words(t))(F.col("text")).alias("text"))
-
-
-@query("review_text_with_dictionary")
-def _(t):
-    return V.review_text(reviewed(t), "text", dictionary=words(t), legacy=LEGACY).select("doc_id", "text")
-
-
 _LINES = r"""lines as (select doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select doc_id, list_filter(list_transform(string_split(text, chr(10)),
     lambda r: regexp_replace(r, '^\s+|\s+$', '', 'g')), lambda l: l <> '') as ls from {}) x)"""
 _TITLE = "case " + " ".join(f"when regexp_matches(line, '{q(p)}') then '{q(n)}'" for p, n in R.BRIEF_HEADINGS) + " end"

@@ -227,11 +227,6 @@ def _(t):
     return t.part.select("p_partkey", X.normalise_key_text(raw).alias("folded"))
 
 
-@query("nfkc")
-def _(t):
-    return t.documents.select("doc_id", X.nfkc(F.col("text")).alias("folded"))
-
-
 @query(
     "canonical_answer",
     f"""select p_partkey, 'number:' || {number_text('p_retailprice')} as price_key, 'text:' || lower(p_name) as name_key from part""",

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Word boundary over ASCII letters, digits and underscore (the engine's own is Unicode aware).
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -47,12 +43,6 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility normalisation, which Spark has no expression for."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-
 def normalise_key_text(col: Column, case: str = "upper") -> Column:
     folded = squash(col)
     return F.upper(folded) if case == "upper" else F.lower(folded)

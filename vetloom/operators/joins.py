@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetloom.functions import text as X
-from vetloom.plans import bounded, scans
+from vetloom.operators.review import cut
+from vetloom.plans import scans
 
 
 def attempt_roster(attempts: DataFrame, candidates: DataFrame, definitions: DataFrame, results: DataFrame, n: int = 100) -> DataFrame:
@@ -82,14 +84,26 @@ def sentences(df: DataFrame, keys: Sequence[str], text: str, kind: str) -> DataF
 
 def content_overlap(published: DataFrame, practice: DataFrame) -> DataFrame:
     """Published ``(kind, canonical)`` rows that also occur in the practice set."""
-    return published.join(practice.select("kind", "canonical").distinct(), ["kind", "canonical"], "left_semi")
+    met = _met(published, practice, ["kind", "canonical"]).select("kind", "canonical").distinct()
+    return published.join(met, ["kind", "canonical"], "left_semi")
+
+
+def _met(published: DataFrame, practice: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Practice rows whose sentence is published.
+
+    The published set is small: its distinct hashes are the build side, so Spark broadcasts it if its size allows and the
+    practice sentences aren't shuffled before they are cut down to those that occur in both.
+    """
+    asked = published.select("kind", "canonical", F.xxhash64("kind", "canonical").alias("__hash")).distinct()
+    hashed = practice.select(*columns, F.xxhash64("kind", "canonical").alias("__hash"))
+    few = hashed.join(asked.select("__hash").distinct(), "__hash", "left_semi")
+    return few.join(asked, ["__hash", "kind", "canonical"], "left_semi").drop("__hash")
 
 
 def overlap_any(published: DataFrame, practice: DataFrame, set_column: str) -> DataFrame:
     """Overlapping rows counted per practice set; both sides are distinct before they meet."""
-    pieces = practice.select(set_column, "kind", "canonical").distinct()
-    asked = published.select("kind", "canonical").distinct()
-    return asked.join(pieces, ["kind", "canonical"]).groupBy(set_column).agg(F.count("*").alias("overlaps"))
+    pieces = _met(published, practice, [set_column, "kind", "canonical"]).distinct()
+    return pieces.groupBy(set_column).agg(F.count("*").alias("overlaps"))
 
 
 # Corporate endings taken along with a dictionary name, longest first (fixed values).
@@ -97,70 +111,61 @@ CORPORATE_ENDINGS = [
     " Holdings Limited", " Holdings Ltd", " Group Limited", " Group Ltd", " (Pty) Ltd", " Holdings", " Pty Ltd",
     " Limited", " Group", " Ltd", " Corp", " Inc",
 ]
-_SPECIAL = ".^$|()[]{}*+?\\"
-
-
-def literal(text: str) -> str:
-    """A pattern that matches ``text`` itself in every regex dialect used here."""
-    return "".join("\\" + c if c in _SPECIAL else c for c in text)
+WORD = r"[A-Za-z0-9_]+"
 
 
-def mention_pattern(names: Sequence[str], endings: Sequence[str]) -> str:
-    """One alternation, longer names first, with an optional ending and word boundaries."""
-    ordered = sorted(set(names), key=lambda n: (-len(n), n))
-    tail = "|".join(literal(e) for e in endings)
-    return rf"(?i)\b({'|'.join(literal(n) for n in ordered)})({tail})?\b"
+def _ending(rest: Column, endings: Sequence[str]) -> Column:
+    """The first listed ending that the text goes on with and that ends at a word's end, in the text's own case."""
+    out = F.lit("")
+    for e in reversed(endings):
+        holds = F.lower(rest).startswith(e.lower()) & ~F.regexp_like(F.substring(rest, len(e) + 1, 1), F.lit(WORD))
+        out = F.when(holds, F.substring(rest, 1, len(e))).otherwise(out)
+    return out
 
 
-def dictionary_mentions(
-    docs: DataFrame, names: DataFrame, id_column: str, text: str,
-    endings: Sequence[str] = CORPORATE_ENDINGS, alternation_limit: int = 2_000,
-) -> DataFrame:
-    """``(id, name, mention, n, descriptor)`` per distinct whole-word mention.
+def mention_hits(docs: DataFrame, names: DataFrame, id_column: str, text: str, endings: Sequence[str] = CORPORATE_ENDINGS) -> DataFrame:
+    """``(id, hits)``: whole-word mentions of dictionary names per document, from left to right, the longest name first.
 
-    A dictionary of at most ``alternation_limit`` names becomes one pattern, so a document is
-    read once and nothing is exploded but its hits. A larger one is joined on word n-grams.
-    """
-    rows = bounded.small_rows(names.select("name"), alternation_limit)
-    if rows is None:
-        return _mentions_by_join(docs, names, id_column, text)
-    pattern = mention_pattern([r["name"] for r in rows], endings)
-    full = X.all_matches(F.col(text), pattern, 0)
-    base = X.all_matches(F.col(text), pattern, 1)
-    hits = docs.select(id_column, F.explode(F.arrays_zip(F.transform(full, F.lower).alias("mention"), F.transform(base, F.lower).alias("name"))).alias("m"))
-    counted = hits.groupBy(id_column, F.col("m.mention").alias("mention"), F.col("m.name").alias("key")).agg(F.count("*").alias("n"))
-    return counted.join(names.withColumn("key", F.lower("name")), "key").select(id_column, "name", "mention", "n", "descriptor")
-
-
-def _mentions_by_join(docs: DataFrame, names: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Dictionary too large for one pattern: equality of word n-grams with the names, longest first.
-
-    Names are keyed by their words and bucketed by word count, so the join is an ordinary
-    equi-join of any size. An n-gram inside a longer mention is dropped inside its document row.
+    A hit is ``(at, last, name, descriptor, mention)``: numbers of its first word and of the word behind it, and the text as
+    written with its corporate ending. One way for dictionaries of every size: each word of a text that starts some name
+    is widened to the name lengths that begin with it, and these pieces meet the names by equality. Hits that overlap
+    are settled inside the document's row.
     """
-    word = r"[A-Za-z0-9_]+"
     keyed = names.select(
-        "name", "descriptor",
-        F.array_join(F.regexp_extract_all(F.lower("name"), F.lit(word), F.lit(0)), " ").alias("gram"),
-    )
-    widths = bounded.small_rows(keyed.select((F.size(F.split("gram", " "))).alias("w")).distinct(), 32)
-    if widths is None:
-        raise ValueError("dictionary names have more than 32 different lengths")
-    tokens = docs.select(id_column, F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)).alias("w"))
-    grams = None
-    for width in sorted((r["w"] for r in widths), reverse=True):
-        starts = F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1)).otherwise(F.array().cast("array<int>"))
-        piece = tokens.select(
-            id_column, F.lit(width).alias("width"), F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, width), " ").alias("gram")))).alias("g")
-        ).select(id_column, "width", "g.at", "g.gram")
-        grams = piece if grams is None else grams.unionByName(piece)
-    hits = grams.join(keyed, "gram")
-    spans = hits.groupBy(id_column).agg(F.collect_list(F.struct("at", "width")).alias("spans"))
-    clear = hits.join(spans, id_column).filter(
-        ~F.exists("spans", lambda s: (s["width"] > F.col("width")) & (s["at"] <= F.col("at")) & (s["at"] + s["width"] > F.col("at")))
-    )
-    return clear.groupBy(id_column, "name", "descriptor").agg(F.count("*").alias("n")).select(
-        id_column, "name", F.lower("name").alias("mention"), "n", "descriptor"
-    )
-
-
+        "name", "descriptor", F.lower("name").alias("gram"), F.lower(F.regexp_extract("name", WORD, 0)).alias("first"),
+        F.size(F.regexp_extract_all("name", F.lit(WORD), F.lit(0))).alias("width"),
+    ).filter("width > 0")
+    longest = keyed.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
+    reach = 2 * (longest + max((len(re.findall(WORD, e)) for e in endings), default=0) + 1)
+    firsts = keyed.groupBy("first").agg(F.sort_array(F.collect_set("width")).alias("widths"))
+
+    def windows(parts: Column) -> Column:
+        numbers = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")))
+        return F.transform(numbers, lambda k: F.slice(parts, 2 * k, F.lit(reach)))
+
+    spread = docs.select(id_column, F.posexplode_outer(X.let(cut(F.col(text), WORD), windows)).alias("at", "window")).filter("window is not null")
+    started = spread.withColumn("first", F.lower(F.get("window", F.lit(0)))).join(firsts, "first")
+    pieces = started.select(id_column, "at", "window", "first", F.explode("widths").alias("width"))
+    pieces = pieces.withColumn("written", F.array_join(F.slice("window", F.lit(1), 2 * F.col("width") - 1), ""))
+    found = pieces.withColumn("gram", F.lower("written")).join(keyed.drop("width"), ["first", "gram"])
+    rest = F.array_join(F.slice("window", 2 * F.col("width"), F.lit(reach)), "")
+    found = found.withColumn("ending", _ending(rest, endings))
+    last = F.col("at") + F.col("width") + F.size(F.regexp_extract_all("ending", F.lit(WORD), F.lit(0)))
+    hit = F.struct("at", last.alias("last"), "name", "descriptor", F.concat("written", "ending").alias("mention"))
+    best = found.groupBy(id_column, "at").agg(F.max_by(hit, F.struct(F.length("gram"), "name")).alias("hit"))
+    ordered = best.groupBy(id_column).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    kind = ordered.schema["hits"].dataType
+    start = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast(kind).alias("kept"))
+
+    def take(state: Column, h: Column) -> Column:
+        taken = F.struct(h["last"].cast("long").alias("free"), F.concat(state["kept"], F.array(h)).alias("kept"))
+        return F.when(h["at"] >= state["free"], taken).otherwise(state)
+
+    return ordered.select(id_column, F.aggregate("hits", start, take, lambda s: s["kept"]).alias("hits"))
+
+
+def dictionary_mentions(docs: DataFrame, names: DataFrame, id_column: str, text: str, endings: Sequence[str] = CORPORATE_ENDINGS) -> DataFrame:
+    """``(id, name, mention, n, descriptor)`` per distinct whole-word mention; the mention in lower case."""
+    rows = mention_hits(docs, names, id_column, text, endings).select(id_column, F.explode_outer("hits").alias("h"))
+    lower = rows.select(id_column, "h.name", "h.descriptor", F.lower("h.mention").alias("mention"))
+    return lower.groupBy(id_column, "name", "descriptor", "mention").agg(F.count("*").alias("n")).select(id_column, "name", "mention", "n", "descriptor")

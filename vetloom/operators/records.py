@@ -140,7 +140,7 @@ def skill_items(sections: DataFrame, key: str) -> DataFrame:
     grouped = (rest != "") & (F.length(label) < 35) & ~rest.startswith("http")
     tidy = lambda s: F.regexp_replace(F.regexp_replace(s, r"^[\s\-–—:]+", ""), r"[.\s]+$", "")
     split = head.select(
-        key, (F.col("part_no") * 100_000 + F.col("n")).alias("line_no"), F.when(grouped, F.trim(label)).otherwise("").alias("group"),
+        key, F.struct("part_no", "n").alias("line_no"), F.when(grouped, F.trim(label)).otherwise("").alias("group"),
         F.posexplode(F.transform(F.split(F.when(grouped, rest).otherwise(F.regexp_replace("line", r"\s{3,}", ",")), ITEM_MARKS), tidy)).alias("i", "item"),
     )
     kept = split.filter(F.length("item").between(2, 45) & F.regexp_like("item", F.lit("[A-Za-z]")))
@@ -379,7 +379,8 @@ def flatten_fields(records: DataFrame, key: str = "record_id") -> DataFrame:
         nested("experience", exp, "achievements"),
         fields("earlyCareer", F.col("earlyCareer"), ["title", "employer", "duration", "alias"]),
     )
-    return records.select(key, F.explode(rows).alias("r")).select(key, "r.path", "r.value")
+    # the outer form: the inner one copies the whole chain into a filter below the projection
+    return records.select(key, F.explode_outer(rows).alias("r")).filter("r is not null").select(key, "r.path", "r.value")
 
 
 def merge_records(base: DataFrame, incoming: DataFrame, key: str = "record_id") -> DataFrame:

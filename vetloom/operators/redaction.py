@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from vetloom.functions import patterns as R
 from vetloom.functions import text as X
-from vetloom.operators.joins import CORPORATE_ENDINGS, dictionary_mentions, literal, mention_pattern
-from vetloom.operators.review import cut, cut_matches, replace_each
-from vetloom.plans import bounded
+from vetloom.functions.phrases import literal
+from vetloom.functions.text import let
+from vetloom.operators.joins import CORPORATE_ENDINGS, mention_hits
+from vetloom.operators.review import MARK, cut, cut_matches, replace_each
 
 LOG_TYPE = "array<struct<type:string,match:string,n:bigint,replacement:string,confidence:string,category:string>>"
 
@@ -54,19 +55,29 @@ def _contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def _entries(matches: Column, kind: str, replacement, confidence: str, category: str) -> Column:
-    """One log entry per distinct match with its count, in order of first occurrence."""
+    """One log entry per distinct match with its count, in order of first occurrence.
+
+    Matches are numbered and sorted, so that equal ones stand together: a run's length is its count.
+    """
     make = replacement if callable(replacement) else (lambda m: F.lit(replacement))
+
+    def runs(ordered: Column) -> Column:
+        heads = F.filter(
+            F.transform(ordered, lambda e, i: F.struct(i.alias("i"), e["m"].alias("m"), e["at"].alias("at"))),
+            lambda e: (e["i"] == 0) | (F.get(ordered, e["i"] - 1)["m"] != e["m"]),
+        )
+        return let(heads, lambda h: F.transform(h, lambda e, k: F.struct(
+            e["at"].alias("at"), e["m"].alias("m"), (F.coalesce(F.get(h, k + 1)["i"], F.size(ordered)) - e["i"]).cast("bigint").alias("n")
+        )))
+
+    numbered = F.array_sort(F.transform(matches, lambda m, at: F.struct(m.alias("m"), at.alias("at"))))
     return F.transform(
-        F.array_distinct(matches),
-        lambda m: F.struct(
-            F.lit(kind).alias("type"),
-            m.alias("match"),
-            F.size(F.filter(matches, lambda other: other == m)).cast("bigint").alias("n"),
-            make(m).alias("replacement"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(category).alias("category"),
+        F.array_sort(let(numbered, runs)),
+        lambda e: F.struct(
+            F.lit(kind).alias("type"), e["m"].alias("match"), e["n"].alias("n"), make(e["m"]).alias("replacement"),
+            F.lit(confidence).alias("confidence"), F.lit(category).alias("category"),
         ),
-    )
+    )
 
 
 def _quoted(replacement: str) -> str:
@@ -82,24 +93,38 @@ class Step:
     apply: Callable[[Column], Column]
 
 
-def _simple(name: str, pattern: str, token: str, confidence: str, category: str, clip: int | None = None) -> Step:
+def _simple(name: str, pattern: str, token: str, confidence: str, category: str) -> Step:
     def log(text: Column) -> Column:
-        found = cut_matches(cut(text, pattern))
-        shown = F.transform(found, lambda m: F.substring(m, 1, clip)) if clip else found
-        return _entries(shown, name, token, confidence, category)
+        return _entries(cut_matches(cut(text, pattern)), name, token, confidence, category)
 
     return Step(name, log, lambda text: F.regexp_replace(text, F.lit(X.regex(pattern)), F.lit(_quoted(token))))
 
 
+def _confidential_pieces(text: Column) -> Column:
+    """The text in pieces that begin at a confidential heading (``H``) or at a line that ends such a section (``E``)."""
+
+    def tagged(line: Column) -> Column:
+        heading = F.regexp_like(line, F.lit(X.regex(R.CONFIDENTIAL_LINE)))
+        ends = F.regexp_like(line, F.lit(X.regex(R.SECTION_END_LINE)))
+        return F.when(heading, F.concat(F.lit(f"{MARK}H"), line)).when(ends, F.concat(F.lit(f"{MARK}E"), line)).otherwise(line)
+
+    lines = F.transform(F.split(F.translate(text, MARK, ""), "\n"), tagged)
+    return F.split(F.concat(F.lit("E"), F.array_join(lines, "\n")), MARK)
+
+
 def confidential_blocks(house: House) -> Step:
-    """Internal notes up to a blank line or the next known heading."""
-    pattern = rf"{R.CONFIDENTIAL_BLOCK}(?={R.BLOCK_END})"
+    """Internal notes of any length: from their heading up to a blank line, another known heading or the end of the text."""
 
     def log(text: Column) -> Column:
-        found = F.filter(cut_matches(cut(text, pattern)), lambda m: F.length(X.trim_all(m)).between(11, 799))
-        return _entries(F.transform(found, lambda m: F.substring(m, 1, 80)), "confidential_section", "[Internal section removed]", "high", "Confidential Notes")
+        found = F.filter(_confidential_pieces(text), lambda p: p.startswith("H"))
+        whole = F.transform(found, lambda p: X.trim_all(F.substr(p, F.lit(2))))
+        return _entries(whole, "confidential_section", "[Internal section removed]", "high", "Confidential Notes")
 
-    return Step("confidential_section", log, lambda text: F.regexp_replace(text, F.lit(X.regex(pattern)), F.lit("\n")))
+    def apply(text: Column) -> Column:
+        kept = F.filter(_confidential_pieces(text), lambda p: p.startswith("E"))
+        return F.array_join(F.transform(kept, lambda p: F.substr(p, F.lit(2))), "")
+
+    return Step("confidential_section", log, apply)
 
 
 def emails(house: House) -> Step:
@@ -116,7 +141,7 @@ def emails(house: House) -> Step:
 
 
 def apply_links(house: House) -> Step:
-    return _simple("apply_link", R.APPLY_LINK, house.apply, "high", "Application Links", 60)
+    return _simple("apply_link", R.APPLY_LINK, house.apply, "high", "Application Links")
 
 
 def apply_phrases(house: House) -> Step:
@@ -124,7 +149,7 @@ def apply_phrases(house: House) -> Step:
 
     def log(text: Column) -> Column:
         found = F.filter(cut_matches(cut(text, R.APPLY_PHRASE)), lambda m: ~_contains_any(m, [house.own]))
-        return _entries(F.transform(found, lambda m: F.substring(X.trim_all(m), 1, 50)), "apply_phrase", house.apply, "medium", "Application Links")
+        return _entries(F.transform(found, X.trim_all), "apply_phrase", house.apply, "medium", "Application Links")
 
     def apply(text: Column) -> Column:
         return replace_each(text, R.APPLY_PHRASE, lambda m: F.when(_contains_any(m, [house.own]), m).otherwise(house.apply))
@@ -221,18 +246,13 @@ def new_mentions(found: Column, candidates: Column, contained: bool = False) ->
     return F.concat(found, F.filter(candidates, lambda c: ~F.exists(found, lambda f: same(f, c))))
 
 
-def known_mentions(text: Column, names: Sequence[tuple[str, str]], endings: Sequence[str] = CORPORATE_ENDINGS) -> Column:
-    """Dictionary names in a text from one alternation; ``names`` is a size-checked list."""
-    if not names:
-        return F.array().cast(MENTION)
-    pattern = mention_pattern([n for n, _ in names], endings)
-    lookup = F.create_map(*[F.lit(v) for n, d in names for v in (n.lower(), d)])
-    pairs = F.arrays_zip(X.all_matches(text, pattern, 0).alias("full"), X.all_matches(text, pattern, 1).alias("base"))
-    mentions = F.transform(
-        pairs,
-        lambda p: F.struct(p["full"].alias("mention"), lookup[F.lower(p["base"])].alias("descriptor"), F.lit("high").alias("confidence")),
-    )
-    return F.array_distinct(mentions)
+def with_known_mentions(docs: DataFrame, key: str, column: str, names: DataFrame, endings: Sequence[str] = CORPORATE_ENDINGS) -> DataFrame:
+    """Documents with ``__known``: the dictionary names in the text, each once, in order of their first place."""
+    hits = mention_hits(docs, names, key, column, endings)
+    mention = lambda h: F.struct(h["mention"].alias("mention"), h["descriptor"].alias("descriptor"), F.lit("high").alias("confidence"))
+    listed = hits.select(F.col(key).alias("__key"), F.array_distinct(F.transform("hits", mention)).alias("__known"))
+    known = docs.join(listed, docs[key].eqNullSafe(listed["__key"]), "left").drop("__key")
+    return known.withColumn("__known", F.coalesce("__known", F.array().cast(MENTION)))
 
 
 def _ordered(mentions: Column) -> Column:
@@ -331,7 +351,7 @@ def contact_names(house: House) -> Step:
 
 
 def references(house: House) -> Step:
-    return _simple("internal_ref", R.INTERNAL_REFERENCE, house.reference_removed, "high", "Internal References", 40)
+    return _simple("internal_ref", R.INTERNAL_REFERENCE, house.reference_removed, "high", "Internal References")
 
 
 def addresses(house: House) -> Step:
@@ -406,21 +426,12 @@ def _all_mentions(text: Column, known: Column, house: House) -> Column:
     return new_mentions(new_mentions(known, declared_mentions(text, house)), unknown_mentions(text, house), contained=True)
 
 
-def redact_names(docs: DataFrame, key: str, column: str, names: DataFrame, house: House, limit: int = 2_000) -> DataFrame:
+def redact_names(docs: DataFrame, key: str, column: str, names: DataFrame, house: House) -> DataFrame:
     """Dictionary, declared and unknown names to their descriptors; appends to ``log``.
 
-    A small dictionary stays inside the projection. A larger one is joined, and only a document's
-    own mentions travel back to it.
+    Only a document's own mentions travel back to it, whatever the size of the dictionary.
     """
-    rows = bounded.small_rows(names.select("name", "descriptor"), limit)
-    if rows is not None:
-        known = docs.withColumn("__known", known_mentions(F.col(column), [(r["name"], r["descriptor"]) for r in rows]))
-    else:
-        found = dictionary_mentions(docs, names, key, column, alternation_limit=limit)
-        listed = found.groupBy(key).agg(
-            F.array_sort(F.collect_set(F.struct("mention", "descriptor", F.lit("high").alias("confidence")))).alias("__known")
-        )
-        known = docs.join(listed, key, "left").withColumn("__known", F.coalesce("__known", F.array().cast(MENTION)))
+    known = with_known_mentions(docs, key, column, names)
     marked = known.withColumn("__mentions", _all_mentions(F.col(column), F.col("__known"), house))
     logged = marked.withColumn("log", F.concat("log", mentions_log(F.col(column), F.col("__mentions"))))
     return logged.withColumn(column, replace_mentions(F.col(column), F.col("__mentions"))).drop("__known", "__mentions")

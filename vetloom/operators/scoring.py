@@ -14,7 +14,7 @@ def catalogue_summary(packages: DataFrame, key: str) -> DataFrame:
     count = F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(s["items"]))
     return packages.select(
         key,
-        F.transform("sections", lambda s: F.substring(s["title"], 1, 120)).alias("section_titles"),
+        F.transform("sections", lambda s: s["title"]).alias("section_titles"),
         count.alias("item_count"),
         F.ceil(F.col("seconds") / 60).alias("minutes"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from vetloom.functions import text as X
 from vetloom.operators.scoring import exact_set
-from vetloom.operators.workbook import LAST_ROW
 from vetloom.plans import scans
 
 
@@ -36,13 +35,12 @@ def union_new_items(base: DataFrame, incoming: DataFrame, key: str, item: str, o
 def content_fingerprint(cells: DataFrame) -> DataFrame:
     """One comparable value per workbook and how many workbooks share it.
 
-    A workbook holds at most one grid of cells, so the pairs gathered per workbook are bounded.
+    All cells of a workbook are gathered, as one unit of work.
     Equal tables meet in a count and a smallest id, never as pairs.
     """
-    inside = cells.filter(F.col("row_no").between(1, LAST_ROW))
     ref = X.normalise_key_text(F.concat(F.col("sheet"), F.lit("!"), F.col("col"), F.col("row_no").cast("string")), "lower")
     pair = F.concat(ref, F.lit("="), X.normalise_key_text(F.coalesce("text", F.lit("")), "lower"))
-    prints = inside.groupBy("workbook_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\n"), 256).alias("fingerprint"))
+    prints = cells.groupBy("workbook_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\n"), 256).alias("fingerprint"))
     shared = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("workbook_id").alias("first_workbook"))
     return prints.join(shared, "fingerprint")
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vetloom.functions import amounts as A
 from vetloom.functions.text import trim_all
@@ -39,13 +38,15 @@ def canonical_cell_ref(ref: Column) -> Column:
     return F.concat(sheet, parts["col"], parts["row"].cast("string"))
 
 
-def _clipped(row_no: Column, col_no: Column) -> Column:
-    return (row_no <= LAST_ROW) & (col_no <= len(COLUMNS))
+def column_letters(number: Column) -> Column:
+    """``A`` to ``Z``, then ``AA`` to ``ZZ``."""
+    first, second = ((number - 1) / 26).cast("int"), (number - 1) % 26
+    return F.concat(F.when(first > 0, F.char(first + 64)).otherwise(""), F.char(second + 65))
 
 
-def cells_to_lines(cells: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def cells_to_lines(cells: DataFrame) -> DataFrame:
     """Tab-joined line per sheet row (blank cells and empty rows dropped) under a banner line 0 per sheet."""
-    filled = cells.filter((F.trim("text") != "") & (F.col("row_no") <= max_rows))
+    filled = cells.filter(F.trim("text") != "")
     cols = F.array_sort(F.collect_list(F.struct("col", "text")))
     lines = filled.groupBy("workbook_id", "sheet", "row_no").agg(
         F.array_join(F.transform(cols, lambda c: c["text"]), "\t").alias("line")
@@ -57,26 +58,23 @@ def cells_to_lines(cells: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def block_to_cells(df: DataFrame, id_column: str, anchor: Column, text: Column) -> DataFrame:
-    """A pasted block to cells from its anchor on, clipped at the grid edge."""
+    """A pasted block to cells from its anchor on; ``fits`` tells whether a cell lies on the grid and its text is short enough."""
     block = F.regexp_replace(F.regexp_replace(text, "\r", ""), r"\n\z", "")
     at = split_cell_ref(anchor)
     placed = df.select(id_column, at.alias("at"), block.alias("block"))
     rows = placed.select(id_column, "at", F.posexplode(F.split("block", "\n")).alias("r", "line"))
     cells = rows.select(id_column, "at", "r", F.posexplode(F.split("line", "\t")).alias("c", "item"))
     row_no, col_no = F.col("at.row") + F.col("r"), column_number(F.col("at.col")) + F.col("c")
-    return cells.filter(_clipped(row_no, col_no)).select(
-        id_column,
-        row_no.alias("row_no"),
-        F.element_at(F.array(*[F.lit(c) for c in COLUMNS]), col_no).alias("col"),
-        F.substring("item", 1, MAX_CELL_TEXT).alias("text"),
-    )
+    fits = (row_no <= LAST_ROW) & (col_no <= len(COLUMNS)) & (F.length("item") <= MAX_CELL_TEXT)
+    return cells.select(id_column, row_no.alias("row_no"), column_letters(col_no).alias("col"), F.col("item").alias("text"), fits.alias("fits"))
 
 
-def layout_two_sided(left: DataFrame, right: DataFrame, scenario: str, key: str, amount: str, rows: int = 19) -> DataFrame:
-    """Statement into A/B and ledger into D/E under a header row; the sheet holds ``rows`` lines a side."""
+def layout_two_sided(left: DataFrame, right: DataFrame, scenario: str, key: str, amount: str, rows: int | None = None) -> DataFrame:
+    """Statement into A/B and ledger into D/E under a header row; every line, or the first ``rows`` a side."""
 
     def side(df: DataFrame, key_col: str, amount_col: str, key_head: str, amount_head: str) -> DataFrame:
-        ranked = scans.first_rows(df, [scenario], [F.col(key), F.col(amount)], rows)
+        ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(scenario).orderBy(key, amount)))
+        ranked = ranked if rows is None else ranked.filter(F.col("rn") <= rows)
         cells = F.array(
             F.struct(F.lit(key_col).alias("col"), F.col(key).cast("string").alias("text")),
             F.struct(F.lit(amount_col).alias("col"), F.col(amount).cast("decimal(18,2)").cast("string").alias("text")),
@@ -187,12 +185,9 @@ def count_if_criteria(cells: DataFrame, sheet: str, tested: str, rows: tuple[int
 
 
 def range_rows(cells: DataFrame, sheet: str, first_col: str, value_col: str) -> DataFrame:
-    """Per workbook the rows of a two-column table in order, as one array.
-
-    The grid ends at row 40, so an array holds at most 40 entries whatever the data size.
-    """
+    """Per workbook the rows of a two-column table in order, as one array; a workbook is one unit of work."""
     inside = cells.filter(
-        (F.lower("sheet") == sheet.lower()) & F.col("row_no").between(1, LAST_ROW) & F.col("col").isin(first_col, value_col)
+        (F.lower("sheet") == sheet.lower()) & F.col("col").isin(first_col, value_col)
     )
     pair = inside.groupBy("workbook_id", "row_no").agg(
         F.max(F.when(F.col("col") == first_col, F.col("text"))).alias("k"),

@@ -24,7 +24,12 @@ def _ordered(keys: Sequence[str], order: Sequence[str], with_chunk: bool = True)
 
 
 def _joined(chunked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return chunked.join(carry, [*keys, CHUNK], "left")
+    """Rows with the carry of their chunk; null keys and chunks meet each other."""
+    other = carry.select(*[F.col(c).alias(f"__carry_{c}") if c in (*keys, CHUNK) else F.col(c) for c in carry.columns])
+    on = F.lit(True)
+    for c in (*keys, CHUNK):
+        on = on & F.col(c).eqNullSafe(F.col(f"__carry_{c}"))
+    return chunked.join(other, on, "left").drop(*[f"__carry_{c}" for c in (*keys, CHUNK)])
 
 
 def day_chunk(column: str) -> Column:
