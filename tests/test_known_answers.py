@@ -165,25 +165,36 @@ def test_date_ranges(spark):
     assert {r["t"]: r["o"] for r in got.collect()} == cases
 
 
-def test_notify_stream_agrees_with_its_twin(spark, tables, tmp_path):
-    from vetloom.catalog.streams import live, outcomes
+def folder_stream(spark, folder, rows, schema):
+    """A stream that reads one row per trigger, in the given order; the last row tells the end of the input."""
+    folder.mkdir()
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(folder / f"part{i:03d}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
 
-    stream = Z.stream_notify_retry(outcomes(live(tables, "events")), "result", "ts", "event_id", "outcome")
-    got = Z.run_to_table(stream, str(tmp_path / "n"))
-    twin = Z.notify_retry_batch(outcomes(tables.events), "result", "ts", "event_id", "outcome")
-    assert got.exceptAll(twin.select(*got.columns)).count() == 0 and got.count() == twin.count()
 
+SAVE = "attempt_id long, save_id long, arrival timestamp, expected_revision long, expires_at timestamp"
+at = lambda s: pd.Timestamp(f"2024-01-01 {s}").to_pydatetime()
 
-def test_deadline_stream_closes_attempts(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    at = lambda s: pd.Timestamp(f"2024-01-01 {s}")
-    rows = [(1, 1, at("00:00:01"), 0), (1, 2, at("00:00:02"), 1), (1, 3, at("00:30:00"), 2), (2, 4, at("01:00:00"), 0)]
-    for i, row in enumerate(rows):
-        frame = pd.DataFrame([row], columns=["attempt_id", "save_id", "arrival", "expected_revision"])
-        frame["expires_at"] = at("00:20:00") if row[0] == 1 else at("02:00:00")
-        spark.createDataFrame(frame).coalesce(1).write.mode("append").parquet(str(folder / f"part{i}"))
-    schema = "attempt_id long, save_id long, arrival timestamp, expected_revision long, expires_at timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+
+def test_deadline_stream_closes_an_attempt_once(spark, tmp_path):
+    due, later = at("00:20:00"), at("23:00:00")
+    rows = [(1, 1, at("00:00:01"), 0, due), (1, 2, at("00:00:02"), 1, due), (2, 3, at("01:00:00"), 0, later), (3, 4, at("01:10:00"), 0, later),
+            (1, 5, at("01:30:00"), 2, due), (1, 6, at("02:30:00"), 0, due), (9, 9, at("03:00:00"), 0, later), (9, 10, at("03:10:00"), 0, later)]
+    stream = folder_stream(spark, tmp_path / "in", rows, SAVE)
     got = Z.run_to_table(Z.stream_attempt_deadlines(stream), str(tmp_path / "out"))
     assert [(r["attempt_id"], r["status"], r["revision"]) for r in got.collect()] == [(1, "timed_out", 2)]
+
+
+def test_streams_do_not_depend_on_arrival_order_or_triggers(spark, tmp_path):
+    times = [at(f"00:{m:02d}:00") for m in (5, 1, 3, 2, 4, 8, 6, 7, 10, 9)]
+    order = sorted(times)
+    saves = [(1, order.index(t), t, order.index(t), at("20:00:00")) for t in times] + [(9, 99, at("21:00:00"), 0, at("20:00:00"))]
+    late = "30 minutes"
+    one = Z.run_to_table(Z.stream_accepted_saves(folder_stream(spark, tmp_path / "a", saves, SAVE), late), str(tmp_path / "a_out"))
+    assert sorted((r["save_id"], r["revision"]) for r in one.collect()) == [(i, i + 1) for i in range(10)]
+    limit = Z.stream_rate_limit(folder_stream(spark, tmp_path / "b", saves, SAVE), "attempt_id", "arrival", "save_id", 2, 180, late)
+    got = {r["event_id"]: r["accepted"] for r in Z.run_to_table(limit, str(tmp_path / "b_out")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False, 9: True}
+    first = Z.stream_first_result(folder_stream(spark, tmp_path / "c", saves, SAVE), "attempt_id", "arrival", ["save_id"], "attempt_id long, save_id long", 40, late)
+    assert [(r["attempt_id"], r["save_id"]) for r in Z.run_to_table(first, str(tmp_path / "c_out")).collect()] == [(1, 0)]

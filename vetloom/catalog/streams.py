@@ -1,4 +1,4 @@
-"""Streaming rules. Live queries drain a stream over the whole table; twins are the finite-input form."""
+"""Streaming rules; every query drains a stream over the whole table."""
 
 from __future__ import annotations
 
@@ -18,6 +18,22 @@ def live(t, name: str):
     return t.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(t.directory)
 
 
+END = -1
+
+
+def live_events(t):
+    """The events as a stream, with a row far in the future that tells the stream that its input has ended.
+
+    Its user is ``END``; results leave it out.
+    """
+    folder = f"{checkpoint_dir(t.spark)}/end-{uuid.uuid4().hex}"
+    t.spark.sql(
+        f"select cast({END} as bigint) as event_id, timestamp '2200-01-01 00:00:00' as ts, cast({END} as bigint) as user_id, 'end' as event_type, 0D as value, '{{}}' as props"
+    ).write.parquet(folder)
+    end = t.spark.readStream.schema(SCHEMAS["events"]).parquet(folder)
+    return live(t, "events").unionByName(end)
+
+
 def drained(t, stream):
     return Z.run_to_table(stream, f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}")
 
@@ -38,33 +54,31 @@ _CHAIN = """with recursive s as (select user_id as attempt_id, event_id as save_
 
 @query("stream_accepted_saves", f"{_CHAIN} select attempt_id, save_id, current as revision from f where accepted")
 def _(t):
-    return drained(t, Z.stream_accepted_saves(saves(live(t, "events"))))
+    return drained(t, Z.stream_accepted_saves(saves(live_events(t))))
 
 
 @query("stream_attempt_deadlines", f"{_CHAIN} select attempt_id, 'timed_out' as status, max(current) as revision from f group by 1")
 def _(t):
-    from vetloom.operators.windows import accepted_saves
-
-    rows = saves(t.events)
-    kept = accepted_saves(rows).groupBy("attempt_id").agg(F.max("revision").alias("revision"))
-    due = rows.select("attempt_id", "arrival", "expires_at").filter("arrival < expires_at").select("attempt_id").distinct()
-    return due.join(kept, "attempt_id", "left").select("attempt_id", F.lit("timed_out").alias("status"), F.coalesce("revision", F.lit(0)).alias("revision"))
+    return drained(t, Z.stream_attempt_deadlines(saves(live_events(t))))
 
 
-@query("stream_first_result", "select distinct user_id as attempt_id from events")
+@query("stream_first_result", "select user_id as attempt_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts, event_id) = 1")
 def _(t):
-    results = live(t, "events").select(F.col("user_id").alias("attempt_id"), "ts")
-    return drained(t, Z.stream_first_result(results, "attempt_id", "ts", "40 days").select("attempt_id"))
+    results = live_events(t).withColumnRenamed("user_id", "attempt_id")
+    fields = "attempt_id long, event_id long, event_type string, value double"
+    return drained(t, Z.stream_first_result(results, "attempt_id", "ts", ["event_id", "event_type", "value"], fields)).filter(F.col("attempt_id") != END)
 
 
 @query("stream_rate_limit", QUERIES["rate_limit_sliding"].sql)
 def _(t):
-    return drained(t, Z.stream_rate_limit(live(t, "events"), "user_id", "ts", "event_id", n=3, seconds=86400))
+    limited = drained(t, Z.stream_rate_limit(live_events(t), "user_id", "ts", "event_id", n=3, seconds=86400))
+    return limited.filter(F.col("event_id") != END)
 
 
 @query("stream_event_counts", """select cast(time_bucket(interval '1 minute', ts) as varchar) as start, event_type, count(*) as n from events group by 1, 2""")
 def _(t):
-    return Z.stream_event_counts(t.events, "ts", "event_type").select(F.col("start").cast("string").alias("start"), "event_type", "n")
+    counts = drained(t, Z.stream_event_counts(live_events(t), "ts", "event_type")).filter("event_type <> 'end'")
+    return counts.select(F.col("start").cast("string").alias("start"), "event_type", "n")
 
 
 @query(
@@ -72,7 +86,7 @@ def _(t):
     """select cast(time_bucket(interval '30 minutes', ts) - interval '30 minutes' * k as varchar) as start, event_type, count(*) as n from events, range(2) r(k) group by 1, 2""",
 )
 def _(t):
-    counts = Z.stream_event_counts(t.events, "ts", "event_type", "1 hour", "30 minutes")
+    counts = drained(t, Z.stream_event_counts(live_events(t), "ts", "event_type", "1 hour", "30 minutes")).filter("event_type <> 'end'")
     return counts.select(F.col("start").cast("string").alias("start"), "event_type", "n")
 
 
@@ -83,7 +97,7 @@ def _(t):
     select user_id, epoch_us(min(ts)) as start, epoch_us(max(ts) + interval '12' hour) as end_us, count(*) as n from s group by user_id, n_s""",
 )
 def _(t):
-    sessions = Z.stream_sessions(t.events, "user_id", "ts", "12 hours")
+    sessions = drained(t, Z.stream_sessions(live_events(t), "user_id", "ts", "12 hours")).filter(F.col("user_id") != END)
     return sessions.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end_us"), "n")
 
 
@@ -108,7 +122,9 @@ def outcomes(events):
     select user_id as result_id, arg_max(status, k) as status, arg_max(tries, k) as tries from f group by 1""",
 )
 def _(t):
-    return Z.notify_retry_batch(outcomes(t.events), "result", "ts", "event_id", "outcome")
+    steps = drained(t, Z.stream_notify_retry(outcomes(live_events(t)), "result", "ts", "event_id", "outcome")).filter(F.col("result_id") != END)
+    newest = steps.groupBy("result_id").agg(F.max_by(F.struct("status", "tries"), "step").alias("s"))
+    return newest.select("result_id", "s.status", "s.tries")
 
 
 def _sanitise_sql() -> str:

@@ -1,15 +1,18 @@
 """Event-time rules as Structured Streaming jobs.
 
-The rule clock is the event's own time, so the allowed lateness is a parameter with default zero.
-Stateful rules keep a few values per key: a revision, at most ``n`` accepted times, a retry count.
+The rule clock is the event's own time, so the allowed lateness is a parameter with default zero. Ordered rules hold rows
+until the watermark has passed them, so results depend neither on the order of arrival nor on triggers. Their states are
+a few values per key (a revision, at most ``n`` accepted times, a retry count) and end at an event time.
 """
 
 from __future__ import annotations
 
+import bisect
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,86 +21,119 @@ from vetloom.operators import projections, redaction
 MICRO = 1_000_000
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
-    """The new rows of one key in one trigger, in event order."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable")
+def _columns(out: list[tuple], names: Sequence[str]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=list(names))
 
 
-def _stateful(df: DataFrame, key: str, step: Callable, output: str, state: str, timeout=GroupStateTimeout.NoTimeout) -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(step, output, state, "append", timeout)
+def in_order(
+    df: DataFrame, key: str, ts: str, fields: Sequence[str], output: str, start: Callable[[], object],
+    fold: Callable[[tuple, object, int, tuple], tuple[object, list[tuple]]], until: Callable[[object, int], int | None],
+    lateness: str = "0 seconds", close: Callable[[tuple, object], list[tuple]] | None = None,
+    only: Column | None = None,
+) -> DataFrame:
+    """A fold over the rows of each key in the order ``(ts, *fields)``, whatever the order and the triggers of arrival.
+
+    Rows wait in the state until the watermark has passed their time: nothing earlier can come then, because rows behind
+    the watermark are refused. ``fold(key, state, micros, row)`` gives the next state and the rows to emit; a state of
+    None ends the key. ``until(state, micros of the last row)`` says from when on the state no longer matters; at that
+    event time it is dropped, after ``close(key, state)`` has given the last rows. None keeps it.
+    Rows that ``only`` refuses move the clock and nothing else.
+    """
+    names = [part.split()[0] for part in output.split(",")]
+    timed = df.withWatermark(ts, lateness).filter(F.lit(True) if only is None else only).select(key, ts, F.unix_micros(ts).alias("__us"), *fields)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, now, last = pickle.loads(state.get[0]) if state.exists else ([], start(), 0)
+        for batch in batches:
+            waiting += zip(batch["__us"].tolist(), *(batch[f].tolist() for f in fields))
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        ready = bisect.bisect_right([row[0] for row in waiting], mark * 1000)
+        out: list[tuple] = []
+        for row in waiting[:ready]:
+            if now is not None:
+                now, more = fold(k, now, row[0], row[1:])
+                out += more
+                last = row[0]
+        waiting = waiting[ready:]
+        end = None if now is None else until(now, last)
+        if not waiting and (now is None or (end is not None and end <= mark * 1000)):
+            out += close(k, now) if close is not None and now is not None else []
+            state.remove()
+        else:
+            state.update((pickle.dumps((waiting, now, last)),))
+            due = waiting[0][0] if waiting else end
+            if due is not None:
+                state.setTimeoutTimestamp(max(mark + 1, -(-due // 1000) - 1))
+        if out:
+            yield _columns(out, names)
+
+    return timed.groupBy(key).applyInPandasWithState(step, output, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_accepted_saves(saves: DataFrame) -> DataFrame:
-    """Saves in time that expect the revision current at their arrival."""
+def _take_save(revision: int, us: int, save: tuple) -> bool:
+    _, expected, expires = save
+    return us < expires and expected == revision
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        revision = state.get[0] if state.exists else 0
-        kept = []
-        for row in _ordered(batches, ["arrival", "save_id"]).itertuples(index=False):
-            if row.arrival < row.expires_at and row.expected_revision == revision:
-                revision += 1
-                kept.append((key[0], row.save_id, revision))
-        state.update((revision,))
-        yield pd.DataFrame(kept, columns=["attempt_id", "save_id", "revision"])
 
-    return _stateful(saves, "attempt_id", step, "attempt_id long, save_id long, revision long", "revision long")
+def _saves(saves: DataFrame) -> DataFrame:
+    return saves.withColumn("expires", F.unix_micros("expires_at"))
+
+
+#: Later saves are refused before they reach a state.
+IN_TIME = "arrival < expires_at"
+
+
+def stream_accepted_saves(saves: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """Saves in time that expect the revision current at their arrival; the state ends with the attempt's deadline."""
+
+    def fold(k: tuple, now: tuple, us: int, save: tuple) -> tuple[tuple, list[tuple]]:
+        revision, _ = now
+        if _take_save(revision, us, save):
+            return (revision + 1, save[2]), [(k[0], save[0], revision + 1)]
+        return (revision, save[2]), []
+
+    return in_order(
+        _saves(saves), "attempt_id", "arrival", ["save_id", "expected_revision", "expires"], "attempt_id long, save_id long, revision long",
+        lambda: (0, None), fold, lambda now, last: now[1], lateness, only=F.expr(IN_TIME),
+    )
 
 
 def stream_attempt_deadlines(saves: DataFrame, lateness: str = "0 seconds") -> DataFrame:
-    """One closing row per attempt when event time passes its deadline: the last revision saved before it.
+    """One closing row per attempt once event time has passed its deadline: the last revision saved before it.
 
-    A save that arrives after the deadline is refused; the state kept is what gets graded.
+    Saves at or after the deadline never start a state, and saves before it are behind the watermark once it has closed,
+    so an attempt closes once.
     """
-    timed = saves.withWatermark("arrival", lateness)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            revision = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"attempt_id": [key[0]], "status": ["timed_out"], "revision": [revision]})
-            return
-        revision = state.get[0] if state.exists else 0
-        deadline = None
-        for row in _ordered(batches, ["arrival", "save_id"]).itertuples(index=False):
-            deadline = row.expires_at
-            if row.arrival < row.expires_at and row.expected_revision == revision:
-                revision += 1
-        state.update((revision,))
-        if deadline is not None:
-            due = int(deadline.timestamp() * 1000)
-            if state.getCurrentWatermarkMs() >= due:
-                due = state.getCurrentWatermarkMs() + 1
-            state.setTimeoutTimestamp(due)
-        yield pd.DataFrame({"attempt_id": [], "status": [], "revision": []}).astype({"attempt_id": "int64", "status": "str", "revision": "int64"})
-
-    return _stateful(
-        timed, "attempt_id", step, "attempt_id long, status string, revision long", "revision long", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def stream_first_result(results: DataFrame, key: str, ts: str, lateness: str = "0 seconds") -> DataFrame:
-    """The first result of every attempt inside the lateness window."""
-    return results.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
-
-
-def stream_rate_limit(events: DataFrame, key: str, ts: str, event_id: str, n: int = 30, seconds: int = 60) -> DataFrame:
-    """Accept while fewer than ``n`` requests were accepted in the last ``seconds``; the state holds at most ``n`` times."""
+    def fold(k: tuple, now: tuple, us: int, save: tuple) -> tuple[tuple, list[tuple]]:
+        return (now[0] + _take_save(now[0], us, save), save[2]), []
+
+    return in_order(
+        _saves(saves), "attempt_id", "arrival", ["save_id", "expected_revision", "expires"], "attempt_id long, status string, revision long",
+        lambda: (0, None), fold, lambda now, last: now[1], lateness, lambda k, now: [(k[0], "timed_out", now[0])], F.expr(IN_TIME),
+    )
+
+
+def stream_first_result(results: DataFrame, key: str, ts: str, fields: Sequence[str], output: str, keep_days: int = 40, lateness: str = "0 seconds") -> DataFrame:
+    """The first result of every key by time, with its payload ``fields``; later ones are refused for ``keep_days`` days."""
+
+    def fold(k: tuple, now: tuple, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        return ((True,), [] if now[0] else [(k[0], *row)])
+
+    return in_order(results, key, ts, fields, output, lambda: (False,), fold, lambda now, last: last + keep_days * 86_400 * MICRO, lateness)
+
+
+def stream_rate_limit(events: DataFrame, key: str, ts: str, event_id: str, n: int = 30, seconds: int = 60, lateness: str = "0 seconds") -> DataFrame:
+    """Accept while fewer than ``n`` requests were accepted in the last ``seconds``; the state ends that long after the last."""
     width = seconds * MICRO
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        for row in _ordered(batches, ["us", event_id]).itertuples(index=False):
-            kept = [t for t in kept if t > row.us - width]
-            accepted = len(kept) < n
-            if accepted:
-                kept.append(row.us)
-            out.append((getattr(row, event_id), accepted))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["event_id", "accepted"])
+    def fold(k: tuple, now: tuple, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        kept = tuple(t for t in now if t > us - width)
+        accepted = len(kept) < n
+        return (kept + (us,) if accepted else kept), [(row[0], accepted)]
 
-    slim = events.select(key, event_id, F.unix_micros(ts).alias("us"))
-    return _stateful(slim, key, step, "event_id long, accepted boolean", "kept array<long>")
+    return in_order(events, key, ts, [event_id], "event_id long, accepted boolean", tuple, fold, lambda now, last: last + width, lateness)
 
 
 def stream_event_counts(events: DataFrame, ts: str, kind: str, width: str = "1 minute", slide: str | None = None, lateness: str = "0 seconds") -> DataFrame:
@@ -152,18 +188,17 @@ def notify_step(state: tuple[str, int], outcome: str) -> tuple[str, int]:
     return "failed", tries + 1
 
 
-def stream_notify_retry(outcomes: DataFrame, key: str, ts: str, event_id: str, outcome: str) -> DataFrame:
-    """Status and retries of every result after each trigger."""
+def stream_notify_retry(outcomes: DataFrame, key: str, ts: str, event_id: str, outcome: str, keep_days: int = 40, lateness: str = "0 seconds") -> DataFrame:
+    """Status and retries of a result after each of its outcomes, numbered; the state ends ``keep_days`` after the last one."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else ("pending", 0)
-        for row in _ordered(batches, [ts, event_id]).itertuples(index=False):
-            now = notify_step(now, getattr(row, outcome))
-        state.update(now)
-        yield pd.DataFrame({"result_id": [k[0]], "status": [now[0]], "tries": [now[1]]})
-
-    slim = outcomes.select(key, ts, event_id, outcome)
-    return _stateful(slim, key, step, "result_id long, status string, tries long", "status string, tries long")
+    def fold(k: tuple, now: tuple, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        status, tries = notify_step(now[:2], row[1])
+        return (status, tries, now[2] + 1), [(k[0], now[2] + 1, status, tries)]
+
+    return in_order(
+        outcomes, key, ts, [event_id, outcome], "result_id long, step long, status string, tries long", lambda: ("pending", 0, 0), fold,
+        lambda now, last: last + keep_days * 86_400 * MICRO, lateness,
+    )
 
 
 def notify_retry_batch(outcomes: DataFrame, key: str, ts: str, event_id: str, outcome: str) -> DataFrame:
