@@ -100,7 +100,9 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
 
     whole = spread.select(F.xxhash64("size", total("here")).alias("key"), F.lit(-1).alias("cut"), "h1")
     ordered = Window.partitionBy("h1").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = spread.select("h1", "size", total("moved").alias("all_moved"), F.posexplode_outer("points").alias("cut", "point"))
+    # the total in a step of its own: beside the generator it would be taken again for every code point
+    summed = spread.select("h1", "size", "points", total("moved").alias("all_moved"))
+    each = summed.select("h1", "size", "all_moved", F.posexplode_outer("points").alias("cut", "point"))
     left = F.bit_xor("point.here").over(ordered).bitwiseXOR(F.col("point.here"))
     right = F.bit_xor("point.moved").over(ordered).bitwiseXOR(F.col("all_moved"))
     shorter = each.select(F.xxhash64(F.col("size") - 1, left.bitwiseXOR(right)).alias("key"), "cut", "h1")
