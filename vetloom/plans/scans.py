@@ -42,53 +42,63 @@ def block_chunk(column: str, width: int = 4096) -> Column:
     return F.floor(F.col(column) / width)
 
 
+def scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+    number: str | None = None, lags: dict[str, str] | None = None, sums: dict[str, str] | None = None,
+) -> DataFrame:
+    """``row_number()`` as ``number``, ``lag(column)`` and running ``sum(column)`` over (keys, order), from two reads of ``df``.
+
+    ``lags`` and ``sums`` give ``{column: new_name}``; sums are of exact decimal or integer types.
+    """
+    lags, sums = lags or {}, sums or {}
+    chunked = df.withColumn(CHUNK, chunk)
+    if lags:
+        chunked = chunked.withColumn("__row", F.struct(*[F.col(c) for c in lags]))
+    parts = [F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__total_{i}") for i, c in enumerate(sums)]]
+    if lags:
+        parts.append(F.max_by("__row", F.struct(*[F.col(o) for o in order])).alias("__tail"))
+    groups = chunked.groupBy(*keys, CHUNK).agg(*parts)
+    place = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")]
+    carried += [F.sum(f"__total_{i}").over(before).alias(f"__before_{i}") for i in range(len(sums))]
+    if lags:
+        carried.append(F.lag("__tail").over(place).alias("__carry"))
+    inside = _ordered(keys, order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chunked.withColumn("__local", F.row_number().over(inside))
+    for i, c in enumerate(sums):
+        local = local.withColumn(f"__sum_{i}", F.sum(c).over(so_far))
+    if lags:
+        local = local.withColumn("__prev", F.lag("__row").over(inside))
+    out = _joined(local, groups.select(*keys, CHUNK, *carried), keys)
+    if number:
+        out = out.withColumn(number, (F.col("__local") + F.col("__offset")).cast("bigint"))
+    for i, name in enumerate(sums.values()):
+        out = out.withColumn(name, F.coalesce(f"__sum_{i}", F.lit(0)) + F.coalesce(f"__before_{i}", F.lit(0)))
+    for c, name in lags.items():
+        out = out.withColumn(name, F.coalesce("__prev", "__carry")[c])
+    helpers = ["__local", "__offset", "__row", "__prev", "__carry", *(f"__{k}_{i}" for i in range(len(sums)) for k in ("sum", "before"))]
+    return out.drop(CHUNK, *helpers)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn") -> DataFrame:
     """``row_number()`` over (keys, order)."""
-    chunked = df.withColumn(CHUNK, chunk)
-    counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = chunked.withColumn("__local", F.row_number().over(_ordered(keys, order)))
-    return (
-        _joined(local, offsets, keys)
-        .withColumn(name, (F.col("__local") + F.col("__offset")).cast("bigint"))
-        .drop(CHUNK, "__local", "__offset")
-    )
+    return scan(df, keys, order, chunk, number=name)
 
 
 def lag_columns(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, columns: dict[str, str]
 ) -> DataFrame:
     """``lag(column)`` over (keys, order) for each ``{column: new_name}``."""
-    chunked = df.withColumn(CHUNK, chunk).withColumn("__row", F.struct(*[F.col(c) for c in columns]))
-    tail = chunked.groupBy(*keys, CHUNK).agg(
-        F.max_by("__row", F.struct(*[F.col(o) for o in order])).alias("__tail")
-    )
-    carry = tail.select(
-        *keys, CHUNK, F.lag("__tail").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__carry")
-    )
-    local = chunked.withColumn("__prev", F.lag("__row").over(_ordered(keys, order)))
-    out = _joined(local, carry, keys).withColumn("__prev", F.coalesce("__prev", "__carry"))
-    for column, name in columns.items():
-        out = out.withColumn(name, F.col("__prev")[column])
-    return out.drop(CHUNK, "__row", "__prev", "__carry")
+    return scan(df, keys, order, chunk, lags=columns)
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, name: str
 ) -> DataFrame:
     """``sum(value)`` over (keys, order, rows unbounded preceding), in exact decimal or integer types."""
-    chunked = df.withColumn(CHUNK, chunk)
-    totals = chunked.groupBy(*keys, CHUNK).agg(F.sum(value).alias("__t"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, CHUNK, F.sum("__t").over(before).alias("__offset"))
-    inside = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = chunked.withColumn("__local", F.sum(value).over(inside))
-    return (
-        _joined(local, offsets, keys)
-        .withColumn(name, F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__offset"), F.lit(0)))
-        .drop(CHUNK, "__local", "__offset")
-    )
+    return scan(df, keys, order, chunk, sums={value: name})
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:
