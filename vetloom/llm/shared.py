@@ -1,11 +1,12 @@
-"""Helpers that several operators use: text as bytes, batches bounded by bytes, row identities, lineage cuts."""
+"""Helpers that several operators use: text as bytes, batches bounded by bytes, lineage cuts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetloom.session import checkpoint_dir
@@ -51,7 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def row_keys(df: DataFrame, columns: Iterable[str]) -> tuple[Column, Column]:
-    """Two never-null 64-bit hashes that name a row by the values of ``columns``."""
-    cols = [F.struct(F.col(c).isNull(), F.col(c)) for c in columns]
-    return F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table, for wide rows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

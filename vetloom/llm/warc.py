@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vetloom.llm.shared import bounded_batches, cut
+from vetloom.llm.shared import bounded_batches, cut, stored
 from vetloom.session import checkpoint_dir
 
 VERSION = b"WARC/1.1"
@@ -44,15 +44,14 @@ def base32_sha1(payload: bytes) -> str:
 def _planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
     """Pages with the id of the page that holds their payload (null: themselves) and a number among equal rows."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    keyed = named.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    who = F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit(""))
+    keyed = named.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"), who.alias("who"))
     holders = keyed.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    light = keyed.select("page_id", "digest", "size").where(F.col("size") >= least)
-    revisits = light.join(holders, "digest").where("holder is not null and not (page_id <=> holder)")
-    revisits = revisits.select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "holder").distinct()
-    on = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same"))
-    told = keyed.join(revisits, on, "left").select("page_id", "url", "payload", "digest", "holder")
-    equal = Window.partitionBy("page_id", "digest").orderBy("page_id", "digest")
-    return told.withColumn("copy", F.row_number().over(equal))
+    light = keyed.select("page_id", "who", "digest", "size").where(F.col("size") >= least)
+    revisits = light.join(holders, "digest").where("holder is not null and not (page_id <=> holder)").select("who", "digest", "holder").distinct()
+    # join and window share their keys, so payloads are shuffled once
+    told = keyed.join(revisits, ["who", "digest"], "left")
+    return told.withColumn("copy", F.row_number().over(Window.partitionBy("who", "digest").orderBy("who", "digest")))
 
 
 def _record(kind: str, record_id: str, headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
@@ -63,7 +62,7 @@ def _record(kind: str, record_id: str, headers: list[tuple[str, str]], block: by
 
 
 def _capture_id(page_id, digest: str, copy: int) -> str:
-    return f"urn:capture:{'none' if page_id is None else page_id}:{digest}:{copy}"
+    return f"urn:capture:{'none' if page_id is None else page_id}:{digest[:16]}:{copy}"
 
 
 def _transaction(page_id, url: str | None, payload: bytes, digest: str, holder, copy: int, when: str, level: int) -> bytes:
@@ -197,32 +196,36 @@ def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: ``capture`` (response or revisit), ``request``, ``metadata``, ``n_requests``, ``n_metadata``.
 
-    ``records`` is read several times; cut its lineage first if that is dear.
+    Every record goes to the capture it is or names; requests and metadata that a capture names join it first. ``records``
+    is read three times; store it first if it is dear. Records of one id count as one.
     """
     held = F.col("kind").isin("response", "revisit")
-    captures = records.where(held).select("record_id", F.struct("*").alias("capture"))
-    others = records.where(F.col("kind").isin("request", "metadata")).withColumnRenamed("record_id", "other_id")
-    named = others.select("other_id", F.explode("concurrent_to").alias("capture_id"))
-    naming = records.where(held & (F.size("concurrent_to") > 0)).select(F.explode("concurrent_to").alias("other_id"), F.col("record_id").alias("capture_id"))
-    links = named.union(naming).distinct()
-    brief = F.struct(F.col("other_id").alias("record_id"), "target_uri", F.map_entries("fields").alias("fields"))
-    joined = links.join(others.select("other_id", "kind", brief.alias("brief")), "other_id")
-    is_request = F.col("kind") == "request"
-    by_capture = joined.groupBy("capture_id").agg(
-        F.min(F.when(is_request, F.col("brief"))).alias("request"), F.min(F.when(~is_request, F.col("brief"))).alias("metadata"),
-        F.count_if(is_request).alias("n_requests"), F.count_if(~is_request).alias("n_metadata"),
+    named = F.array_distinct("concurrent_to")
+    whole = F.struct(*[c for c in records.columns if c != "fields"])
+    brief = F.struct("record_id", "target_uri", F.map_entries("fields").alias("fields"))
+    known = records.where(held | F.col("kind").isin("request", "metadata"))
+    parts = known.select(
+        F.explode(F.when(held, F.array("record_id")).otherwise(named)).alias("link"), "kind", F.when(held, whole).alias("capture"), F.when(~held, brief).alias("brief")
+    )
+    naming = records.where(held & (F.size("concurrent_to") > 0)).select(F.explode(named).alias("other_id"), F.col("record_id").alias("link"))
+    others = known.where(~held).select(F.col("record_id").alias("other_id"), "kind", "concurrent_to", brief.alias("brief"))
+    back = naming.join(others, "other_id").where("not array_contains(concurrent_to, link)")
+    back = back.select("link", "kind", F.lit(None).cast(parts.schema["capture"].dataType).alias("capture"), "brief")
+    is_request, is_metadata = F.col("kind") == "request", F.col("kind") == "metadata"
+    together = parts.union(back).groupBy("link").agg(
+        F.min("capture").alias("capture"), F.min(F.when(is_request, F.col("brief"))).alias("request"), F.min(F.when(is_metadata, F.col("brief"))).alias("metadata"),
+        F.count_if(is_request).alias("n_requests"), F.count_if(is_metadata).alias("n_metadata"),
     )
-    joined = captures.join(by_capture, captures["record_id"] == by_capture["capture_id"], "full_outer")
-    return joined.select("capture", "request", "metadata", F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+    return together.drop("link")
 
 
 def page_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Writes the pages as archives, reads these back and returns one row per page."""
     id_type = pages.schema[id_col].dataType
-    records = cut(read_records(write_archives(pages, None, id_col, url_col, html_col, least)).drop("payload"))
+    records = stored(read_records(write_archives(pages, None, id_col, url_col, html_col, least)).drop("payload"))
     whole = assemble(records)
     page = F.filter("metadata.fields", lambda f: f["key"] == "page-id")
-    holder = F.nullif(F.regexp_extract("capture.refers_to", r"^urn:capture:(.*):[0-9a-f]{40}:[0-9]+:response$", 1), F.lit(""))
+    holder = F.nullif(F.regexp_extract("capture.refers_to", r"^urn:capture:(.*):[0-9a-f]{16}:[0-9]+:response$", 1), F.lit(""))
     return whole.select(
         F.get(page, F.lit(0))["value"].cast(id_type).alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
         F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.kind").alias("record_type"),
