@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from vetloom.catalog import load_all
 from vetloom.functions import amounts as A
 from vetloom.functions import dates as D
+from vetloom.functions.text import fold_text
 from vetloom.operators import joins as J
 from vetloom.operators import notes as N
 from vetloom.operators import predicates as P
@@ -165,6 +166,13 @@ def test_date_ranges(spark):
     assert {r["t"]: r["o"] for r in got.collect()} == cases
 
 
+def test_compatibility_characters_fold_to_plain_ones(spark):
+    cases = {"Ｆｕｌｌ　Ｗｉｄｔｈ １２": "full width 12", "ﬁne ﬂow…": "fine flow...", "a\u00a0b – c": "a b - c", "②µ": "2μ"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", fold_text(F.col("t")).alias("o"))
+    assert {r["t"]: r["o"] for r in got.collect()} == cases
+    assert one(spark, N.normalise_note, "Ｈｏｌｄ  it") == "hold it"
+
+
 def folder_stream(spark, folder, rows, schema):
     """A stream that reads one row per trigger, in the given order; the last row tells the end of the input."""
     folder.mkdir()

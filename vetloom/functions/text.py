@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,8 +84,28 @@ def split_references(col: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda part: part != "")
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is one other character, and those forms."""
+    pairs = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)])]
+    single = [(c, f) for c, f in pairs if f != c and len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single)
+
+
+COMPATIBLE = _compatible()
+# Ligatures and the ellipsis, which stand for several characters (fixed values).
+SPELT_OUT = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "№": "No", "™": "TM", "½": "1⁄2"}
+
+
+def compatible(col: Column) -> Column:
+    """Full-width letters, ligatures, ring digits and the like in their plain form; combining marks stay apart."""
+    out = F.translate(col, *COMPATIBLE)
+    for one, several in SPELT_OUT.items():
+        out = F.replace(out, F.lit(one), F.lit(several))
+    return out
+
+
 def fold_text(col: Column) -> Column:
-    dashes = F.translate(col, "‒–—", "---")
+    dashes = F.translate(compatible(col), "‒–—", "---")
     return F.lower(squash(dashes))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetloom.functions.text import regex
+from vetloom.functions.text import compatible, regex
 
 CRITERION_POINTS = 2
 NEGATION_WINDOW = 40
@@ -18,8 +18,8 @@ CLAUSE_END = rf"[,.;:!?()—–]|\b({'|'.join(CLAUSE_WORDS)})\b"
 
 
 def normalise_note(col: Column) -> Column:
-    """Comparable text; apply ``nfkc`` first to text that may hold compatibility characters."""
-    plain = F.translate(F.lower(F.coalesce(col, F.lit(""))), "’‘", "''")
+    """Comparable text: compatibility characters in their plain form, lower case, plain quotes, single blanks."""
+    plain = F.translate(F.lower(compatible(F.coalesce(col, F.lit("")))), "’‘", "''")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 

@@ -123,12 +123,13 @@ def longest_first(names: DataFrame) -> DataFrame:
     """Dictionary order for matching: longer names first, then by name, with the position as a column."""
     size = F.length("name")
     # Lengths are few, so the order is a count per length plus a rank inside one length.
-    inside = F.row_number().over(Window.partitionBy("__size").orderBy("name"))
+    # Names of one length are ranked in chunks of their first characters, so that a common length is spread.
     sized = names.withColumn("__size", size)
     longer = sized.groupBy("__size").agg(F.count("*").alias("__n"))
     before = Window.orderBy(F.col("__size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = longer.select("__size", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = sized.withColumn("__inside", inside).join(offsets, "__size")
+    inside = scans.number_rows(sized, ["__size"], ["name"], F.substring("name", 1, 3), "__inside")
+    ranked = inside.join(offsets, "__size")
     return ranked.withColumn("position", F.col("__before") + F.col("__inside")).drop("__size", "__n", "__inside", "__before")
 
 

@@ -59,8 +59,10 @@ def heading_name(line: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, pattern in reversed(R.CV_SECTIONS.items()):
             out = F.when(F.regexp_like(label, F.lit(rf"^{pattern}$")), name).otherwise(out)
+        # one look for any section name first: most short lines open none
+        some = F.regexp_like(label, F.lit("^(?:" + "|".join(R.CV_SECTIONS.values()) + ")$"))
         field = F.regexp_like(label, F.lit("^(?:" + "|".join(R.CV_FIELDS.values()) + ")$"))
-        plain = (label != "") & (F.size(F.split(label, r"\s+")) <= 6) & ~field
+        plain = (label != "") & some & (F.size(F.split(label, r"\s+")) <= 6) & ~field
         return F.when(plain, out)
 
     usable = (raw != "") & (F.length(raw) <= 75) & ~F.regexp_like(raw, F.lit("[.!?]$"))
