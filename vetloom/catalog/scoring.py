@@ -262,6 +262,7 @@ _MARK = rf"""h as (select note_id, trim(regexp_replace(lower(note), '\s+', ' ',
       list_last(regexp_split_to_array(substr(h, greatest(1, i - 40), i - greatest(1, i - 40)), '{_END}')), '\bnot only\b', '', 'g'), '{_NEG}'))) > 0 as clean from occ),
     verdict as (select h.note_id, criterion_id, h.h = '' as blank, (select arg_min(m, pos) from hit x where x.note_id = h.note_id and x.criterion_id = crit.criterion_id and part = 'none' and clean) as blocked_by,
       (select bool_or(not present) from hit x where x.note_id = h.note_id and x.criterion_id = crit.criterion_id and part = 'all') as missing,
+      (select string_agg(m, '|' order by pos) from hit x where x.note_id = h.note_id and x.criterion_id = crit.criterion_id and part = 'all' and not present) as absent,
       (select arg_min(m, pos) from hit x where x.note_id = h.note_id and x.criterion_id = crit.criterion_id and part = 'any' and clean) as choice,
       (select arg_min(m, pos) from hit x where x.note_id = h.note_id and x.criterion_id = crit.criterion_id and part = 'all' and present) as fact, len(any_of) as n_any
       from h, crit),
@@ -283,10 +284,10 @@ def _(t):
 @query(
     "score_criterion",
     f"""with {_MARK} select note_id, criterion_id, case when met then 2 else 0 end as points, case when met then coalesce(fact, choice) end as matched,
-    blocked_by, blank from scored""",
+    blocked_by, coalesce(absent, '') as missing, blank from scored""",
 )
 def _(t):
-    return N.score_criterion(notes(t), criteria(t)).drop("item_id")
+    return N.score_criterion(notes(t), criteria(t)).drop("item_id").withColumn("missing", F.array_join("missing", "|"))
 
 
 @query("score_note", f"with {_MARK} select note_id, sum(case when met then 2 else 0 end) as earned, 2 * count(*) as max, bool_or(blank) as blank from scored group by 1")

@@ -60,7 +60,7 @@ def match_unnegated(note: Column, markers: Column) -> Column:
 
 
 def score_criterion(notes: DataFrame, criteria: DataFrame, item: str = "item_id") -> DataFrame:
-    """One row per note and criterion of its item: points, matched marker, blocking marker.
+    """One row per note and criterion of its item: points, matched marker, blocking marker, missing facts.
 
     ``notes``: note_id, item, note. ``criteria``: item, criterion_id, and the arrays all_of, any_of, none_of.
     Facts (``all_of``) need presence only; choices (``any_of``) and blocks (``none_of``) respect negation.
@@ -72,7 +72,7 @@ def score_criterion(notes: DataFrame, criteria: DataFrame, item: str = "item_id"
     checked = joined.withColumns(
         {
             "blocked_by": match_unnegated(note, blocks),
-            "__missing": F.exists(facts, lambda m: ~has_marker(note, m)),
+            "missing": F.filter(facts, lambda m: ~has_marker(note, m)),
             "__choice": match_unnegated(note, choices),
             "__fact": match_marker(note, facts),
         }
@@ -81,7 +81,7 @@ def score_criterion(notes: DataFrame, criteria: DataFrame, item: str = "item_id"
         (note != "")
         & (F.size(facts) + F.size(choices) > 0)
         & F.col("blocked_by").isNull()
-        & ~F.col("__missing")
+        & (F.size("missing") == 0)
         & ((F.size(choices) == 0) | F.col("__choice").isNotNull())
     )
     return checked.select(
@@ -89,6 +89,7 @@ def score_criterion(notes: DataFrame, criteria: DataFrame, item: str = "item_id"
         F.when(met, CRITERION_POINTS).otherwise(0).alias("points"),
         F.when(met, F.coalesce("__fact", "__choice")).alias("matched"),
         F.when(note != "", F.col("blocked_by")).alias("blocked_by"),
+        "missing",
         (note == "").alias("blank"),
     )
 

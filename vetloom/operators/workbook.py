@@ -305,23 +305,32 @@ def cell_reference_edges(cells: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def cell_cycles(edges: DataFrame, max_depth: int = 60) -> DataFrame:
-    """Cells that reach themselves.
+def cell_cycles(edges: DataFrame, peels: int = 8) -> DataFrame:
+    """Cells that reach themselves, over cycles of any length.
 
-    Paths double in length every round, so 60 levels need six rounds; each round is cut by a
-    checkpoint. Only references to cells that hold formulas themselves can lie on a cycle.
+    Cells without a reference in or out of the rest can lie on no cycle: they are peeled off, for ``peels`` rounds or until
+    nothing changes. What is left is closed by doubling path lengths until no new pair appears. Every round is cut by a
+    checkpoint.
     """
     from vetloom.session import checkpoint_dir
 
     checkpoint_dir(edges.sparkSession)
-    sources = edges.select("workbook_id", F.col("from_ref").alias("to_ref")).distinct()
-    reach = edges.join(sources, ["workbook_id", "to_ref"], "left_semi").select("workbook_id", "from_ref", "to_ref")
-    reach = reach.distinct().checkpoint()
-    length = 1
-    while length < max_depth:
-        left = reach.select("workbook_id", "from_ref", F.col("to_ref").alias("via"))
-        right = reach.select("workbook_id", F.col("from_ref").alias("via"), "to_ref")
-        step = left.join(right, ["workbook_id", "via"]).select("workbook_id", "from_ref", "to_ref")
+    left = edges.select("workbook_id", "from_ref", "to_ref").distinct().checkpoint()
+    size = left.count()
+    for _ in range(peels):
+        sources = left.select("workbook_id", F.col("from_ref").alias("to_ref")).distinct()
+        targets = left.select("workbook_id", F.col("to_ref").alias("from_ref")).distinct()
+        rest = left.join(sources, ["workbook_id", "to_ref"], "left_semi").join(targets, ["workbook_id", "from_ref"], "left_semi").checkpoint()
+        before, size, left = size, rest.count(), rest
+        if size == before:
+            break
+    reach = left.select("workbook_id", "from_ref", "to_ref")
+    while size:
+        first = reach.select("workbook_id", "from_ref", F.col("to_ref").alias("via"))
+        second = reach.select("workbook_id", F.col("from_ref").alias("via"), "to_ref")
+        step = first.join(second, ["workbook_id", "via"]).select("workbook_id", "from_ref", "to_ref")
         reach = reach.unionByName(step).distinct().checkpoint()
-        length *= 2
+        before, size = size, reach.count()
+        if size == before:
+            break
     return reach.filter(F.col("from_ref") == F.col("to_ref")).select("workbook_id", F.col("from_ref").alias("cell"))
