@@ -95,15 +95,13 @@ def s_urls(text: str) -> tuple[str, str]:
     return s_entries(found, "url", f"({_url_verdict('x')})", "medium"), sql_each(text, R.URL, f"coalesce({_url_verdict('p')}, p)")
 
 
-def _domain_goes(m: str, text: str) -> str:
-    at = f"instr({text}, {m})"
-    around = f"substr({text}, greatest({at} - 30, 1), least({at} - 1, 30) + 50)"
-    return f"(not {s_contains(m, [*R.COMMON_HOSTS, HOUSE.own])} and regexp_matches({m}, '{R.PLAIN_DOMAIN}') and regexp_matches({around}, '{R.DOMAIN_CONTEXT}'))"
-
-
 def s_domains(text: str) -> tuple[str, str]:
-    found = f"list_transform(list_filter({s_matches(text, R.BARE_DOMAIN)}, lambda m: {_domain_goes('m', text)}), lambda m: lower(m))"
-    return s_entries(found, "bare_domain", f"'{HOUSE.link_removed}'", "medium"), sql_each(text, R.BARE_DOMAIN, f"case when {_domain_goes('p', text)} then '{HOUSE.link_removed}' else p end")
+    parts = sql_cut(text, R.BARE_DOMAIN)
+    around = f"right(({parts})[i - 1], 30) || ' ' || left(({parts})[i + 1], 40)"
+    goes = f"(i % 2 = 0 and not {s_contains('p', [*R.COMMON_HOSTS, HOUSE.own])} and regexp_matches(p, '{R.PLAIN_DOMAIN}') and regexp_matches({around}, '{R.DOMAIN_CONTEXT}'))"
+    found = f"list_filter(list_transform({parts}, lambda p, i: case when {goes} then lower(p) end), lambda m: m is not null)"
+    changed = f"array_to_string(list_transform({parts}, lambda p, i: case when {goes} then '{HOUSE.link_removed}' else p end), '')"
+    return s_entries(found, "bare_domain", f"'{HOUSE.link_removed}'", "medium"), changed
 
 
 _DIGITS = r"length(regexp_replace({}, '\D', '', 'g'))"

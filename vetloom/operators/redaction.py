@@ -290,28 +290,32 @@ def replace_mentions(text: Column, mentions: Column) -> Column:
 # ---- identifiers -----------------------------------------------------------------------------------
 
 def bare_domains(house: House, known_roots: Sequence[str] = ()) -> Step:
-    """Known domains, and plain ones near words such as "visit" or "website"; common hosts and own ones stay."""
+    """Known domains, and plain ones near words such as "visit" or "website"; common hosts and own ones stay.
+
+    Every occurrence is judged by its own neighbours: 30 characters before it and 40 behind.
+    """
     hosts = [*R.COMMON_HOSTS, house.own, *house.extra_hosts]
 
-    def goes(match: Column, text: Column) -> Column:
+    def goes(parts: Column, i: Column) -> Column:
+        match = F.get(parts, i)
         root = F.substring_index(F.lower(match), ".", 1)
         known = F.lit(False)
         for name in known_roots:
             if len(name) > 3:
                 known = known | root.contains(name) | F.lit(name).contains(root)
-        at = F.call_function("instr", text, match)
-        around = F.substring(text, F.greatest(at - 30, F.lit(1)), F.least(at - 1, F.lit(30)) + 50)
+        around = F.concat(F.right(F.get(parts, i - 1), F.lit(30)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(40)))
         near = F.regexp_like(around, F.lit(R.DOMAIN_CONTEXT))
-        return ~_contains_any(match, hosts) & (known | (F.regexp_like(match, F.lit(R.PLAIN_DOMAIN)) & near))
+        return (i % 2 == 1) & ~_contains_any(match, hosts) & (known | (F.regexp_like(match, F.lit(R.PLAIN_DOMAIN)) & near))
 
     def log(text: Column) -> Column:
-        found = F.transform(F.filter(cut_matches(cut(text, R.BARE_DOMAIN)), lambda m: goes(m, text)), F.lower)
-        return _entries(found, "bare_domain", house.link_removed, "medium", "External Links")
+        found = let(cut(text, R.BARE_DOMAIN), lambda ps: F.transform(ps, lambda p, i: F.when(goes(ps, i), F.lower(p))))
+        return _entries(F.filter(found, lambda m: m.isNotNull()), "bare_domain", house.link_removed, "medium", "External Links")
 
-    return Step(
-        "bare_domain", log,
-        lambda text: replace_each(text, R.BARE_DOMAIN, lambda m: F.when(goes(m, text), house.link_removed).otherwise(m)),
-    )
+    def apply(text: Column) -> Column:
+        changed = let(cut(text, R.BARE_DOMAIN), lambda ps: F.transform(ps, lambda p, i: F.when(goes(ps, i), house.link_removed).otherwise(p)))
+        return F.array_join(changed, "")
+
+    return Step("bare_domain", log, apply)
 
 
 def digit_count(text: Column) -> Column:
