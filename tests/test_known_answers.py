@@ -206,3 +206,12 @@ def test_streams_do_not_depend_on_arrival_order_or_triggers(spark, tmp_path):
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False, 9: True}
     first = Z.stream_first_result(folder_stream(spark, tmp_path / "c", saves, SAVE), "attempt_id", "arrival", ["save_id"], "attempt_id long, save_id long", 40, late)
     assert [(r["attempt_id"], r["save_id"]) for r in Z.run_to_table(first, str(tmp_path / "c_out")).collect()] == [(1, 0)]
+
+
+def test_latest_state_writes_touched_buckets_only(spark, tmp_path):
+    rows = [(1, 10, at("00:01:00")), (2, 11, at("00:02:00")), (1, 12, at("00:00:30")), (1, 13, at("00:03:00"))]
+    stream = folder_stream(spark, tmp_path / "in", rows, "user_id long, event_id long, ts timestamp")
+    Z.stream_latest_state(stream, str(tmp_path / "state"), ["user_id"], ["ts", "event_id"], str(tmp_path / "check")).awaitTermination()
+    got = Z.read_latest_state(spark, str(tmp_path / "state")).collect()
+    assert {(r["user_id"], r["event_id"]) for r in got} == {(1, 13), (2, 11)}
+    assert len(list((tmp_path / "state").glob("bucket=*/version=*"))) == 4

@@ -12,7 +12,8 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -151,26 +152,45 @@ def stream_sessions(events: DataFrame, actor: str, ts: str, gap: str = "60 minut
     return counted.select(actor, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def stream_latest_state(events: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], checkpoint: str):
-    """Newest event per key, kept as one parquet version per batch under ``folder``; returns the running query."""
+def _newest_versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, int]:
+    """Newest version per bucket of a state folder; at most as many entries as there are buckets."""
+    try:
+        kept = spark.read.parquet(folder).select("bucket", "version")
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return {}
+        raise
+    older = kept if below is None else kept.filter(F.col("version") < below)
+    return {r["bucket"]: r["version"] for r in older.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def stream_latest_state(events: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, buckets: int = 64):
+    """Newest event per key under ``folder``; returns the running query.
+
+    Keys are spread over ``buckets`` by hash. A batch writes a new version of the buckets that it touches and leaves the
+    others alone; a batch that runs again reads the versions it read before and overwrites its own.
+    """
+    schema = events.schema
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{folder}/version={number}"
-        if number == 0:
-            projections.upsert_latest(batch.limit(0), batch, keys, order).write.mode("overwrite").parquet(target)
-        else:
-            before = spark.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}")
-            projections.upsert_latest(before, batch, keys, order).write.mode("overwrite").parquet(target)
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+        newest = _newest_versions(spark, folder, number)
+        paths = [f"{folder}/bucket={b}/version={newest[b]}" for b in touched if b in newest]
+        before = spark.read.schema(schema).parquet(*paths) if paths else batch.limit(0)
+        before = before.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged = projections.upsert_latest(before, placed, keys, order).withColumn("version", F.lit(number))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(folder)
+        placed.unpersist()
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest_state(spark, folder: str) -> DataFrame:
-    """The newest version written by ``stream_latest_state``."""
-    versions = spark.read.parquet(folder)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+def read_latest_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of every bucket written by ``stream_latest_state``."""
+    paths = [f"{folder}/bucket={b}/version={v}" for b, v in _newest_versions(spark, folder).items()]
+    return spark.read.parquet(*paths)
 
 
 MAX_RETRIES = 5
