@@ -41,10 +41,9 @@ def _(t):
 
 def cell_pairs(t):
     """Two cells of one row side by side."""
-    row = t.cells_v.groupBy("workbook_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"))
     names = [(a, b) for a in "ABC" for b in "BCD" if a <= b]
-    sides = [F.struct(F.lit(a).alias("lc"), F.col("cells")[a].alias("lt"), F.lit(b).alias("rc"), F.col("cells")[b].alias("rt")) for a, b in names]
-    both = row.select("workbook_id", "row_no", F.inline(F.array(*sides)))
+    sides = [F.struct(F.lit(a).alias("lc"), F.col(a.lower()).alias("lt"), F.lit(b).alias("rc"), F.col(b.lower()).alias("rt")) for a, b in names]
+    both = t.wide_v.select("workbook_id", "row_no", F.inline(F.array(*sides)))
     return both.withColumn("a", A.numeric_cell(F.col("lt"))).withColumn("b", A.numeric_cell(F.col("rt")))
 
 

@@ -256,16 +256,20 @@ def responses_v(t) -> DataFrame:
     )
 
 
+def wide_v(t) -> DataFrame:
+    """Every line as one row of five cells ``a`` to ``e``."""
+    cells = ", ".join(f"{text} as {col.lower()}" for col, text in _CELLS.items())
+    return t.spark.sql(f"select l_orderkey as workbook_id, row_no, {cells} from {{line_v}}", line_v=t.line_v)
+
+
 def cells_v(t) -> DataFrame:
-    """Every line as five cells of one row, from one scan."""
-    cells = ", ".join(f"named_struct('col', '{col}', 'text', {text})" for col, text in _CELLS.items())
-    return t.spark.sql(
-        f"select l_orderkey as workbook_id, 'Data' as sheet, row_no, col, text from {{line_v}} lateral view inline(array({cells})) c as col, text",
-        line_v=t.line_v,
-    )
+    """The cells of every line as rows, from one scan."""
+    cells = F.array(*[F.struct(F.lit(col).alias("col"), F.col(col.lower()).alias("text")) for col in _CELLS])
+    return t.wide_v.select("workbook_id", F.lit("Data").alias("sheet"), "row_no", F.inline(cells))
 
 
 BUILDERS = {
+    "wide_v": wide_v,
     "cells_v": cells_v,
     "numbered_events": numbered_events,
     "items_v": items_v,
