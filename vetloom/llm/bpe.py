@@ -29,7 +29,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from vetloom.llm.shared import bounded_batches, id_and_bytes, steps
 
 #: Different pre-tokens that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Bytes of text that are split into pre-tokens at once.
+STEP_BYTES = 4 << 20
 
 
 class RankQueue:
@@ -246,7 +248,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         vocabulary, known = _vocabulary(share)
         compiled = regex.compile(pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for ids, texts in steps(batches):
+        for ids, texts in steps(batches, STEP_BYTES):
             found = encode_texts([t.decode("utf-8", "replace") for t in texts], compiled, vocabulary, known)
             back = [sha(vocabulary.decode(np.frombuffer(f, "<u4"))) for f in found]
             yield pa.RecordBatch.from_arrays(
