@@ -14,6 +14,7 @@ from vetloom.operators import joins as J
 from vetloom.operators import redaction as D
 from vetloom.operators import review as V
 from vetloom.operators import windows as W
+from vetloom.plans.spread import spread
 
 HOUSE = D.House(
     industries=(
@@ -28,8 +29,8 @@ SQL_VIEWS["texts_v"] = """select doc_id, text from briefs_v union all select doc
 
 def texts(t):
     """Briefs, documents and page links in one table."""
-    more = t.documents.select((F.col("doc_id") + 1000000000).alias("doc_id"), "text")
-    links = t.pages.select((F.col("page_id") + 2000000000).alias("doc_id"), F.concat(F.lit("Visit "), "url", F.lit(" or the next page")).alias("text"))
+    more = spread(t.documents).select((F.col("doc_id") + 1000000000).alias("doc_id"), "text")
+    links = spread(t.pages).select((F.col("page_id") + 2000000000).alias("doc_id"), F.concat(F.lit("Visit "), "url", F.lit(" or the next page")).alias("text"))
     return t.briefs_v.unionByName(more).unionByName(links)
 
 

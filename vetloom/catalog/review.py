@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vetloom.catalog.registry import SQL_VIEWS, query
 from vetloom.functions import patterns as R
 from vetloom.operators import review as V
+from vetloom.plans.spread import spread
 
 SQL_VIEWS["reviewed_v"] = "select doc_id, text from damaged_v union all select doc_id + 1000000000, text from documents"
 LEGACY = ("desk@old.example.com", "desk@new.example.com")
@@ -17,7 +18,7 @@ def q(pattern: str) -> str:
 
 
 def reviewed(t):
-    return t.damaged_v.unionByName(t.documents.select((F.col("doc_id") + 1000000000).alias("doc_id"), "text"))
+    return t.damaged_v.unionByName(spread(t.documents).select((F.col("doc_id") + 1000000000).alias("doc_id"), "text"))
 
 
 def sql_cut(text: str, pattern: str) -> str:

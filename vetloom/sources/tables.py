@@ -54,7 +54,7 @@ class Tables:
         elif name in views.BUILDERS:
             frame = views.BUILDERS[name](self)
         elif name in views.SHARED_SQL:
-            frame = views.from_sql(self, views.SHARED_SQL[name])
+            frame = views.from_sql(self, views.SHARED_SQL[name], views.HEAVY.get(name, ()))
         else:
             raise AttributeError(name)
         self.__dict__[name] = frame
