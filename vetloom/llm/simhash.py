@@ -223,18 +223,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def placed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, text, place, k1, k2``: each row as it is, its text, its place in the order and two hashes of both."""
+    whole = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).isNull(), F.col(id_col)).alias("place"), F.col(text_col).alias("text"))
+    return whole.select("row", "text", "place", F.xxhash64("place", "text").alias("k1"), F.xxhash64("text", F.lit(7), "place").alias("k2"))
+
+
+def one_of_each(keyed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of the smallest ``least`` of each ``root``; of equal rows one."""
+    first = rooted.groupBy("root").agg(F.min("least").alias("key")).select("key.k1", "key.k2")
+    chosen = keyed.select("row", "k1", "k2").join(first, ["k1", "k2"])
+    equal = Window.partitionBy("k1", "k2").orderBy("k1")
+    return chosen.withColumn("n", F.row_number().over(equal)).where("n = 1").select("row.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs``, every column as it is, with one row left of each component: that of the smallest id.
 
     Among rows of the smallest id the one with the smallest row hash stays, and of equal rows one.
     """
-    whole = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).isNull(), F.col(id_col)).alias("place"), F.col(text_col).alias("text"))
-    keyed = whole.select("row", "text", "place", F.xxhash64("place", "text").alias("k1"), F.xxhash64("text", F.lit(7), "place").alias("k2"))
+    keyed = placed_rows(docs, id_col, text_col)
     rows = cut(fingerprints(keyed.select(F.struct("place", "k1", "k2").alias("key"), "text"), "key", "text", width))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(classes.select("fp"), max_bits))
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("key")).select("key.k1", "key.k2")
-    chosen = keyed.select("row", "k1", "k2").join(first, ["k1", "k2"])
-    equal = Window.partitionBy("k1", "k2").orderBy("k1")
-    return chosen.withColumn("n", F.row_number().over(equal)).where("n = 1").select("row.*")
+    return one_of_each(keyed, rooted)
