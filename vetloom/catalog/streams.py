@@ -14,8 +14,15 @@ from vetloom.streaming import jobs as Z
 
 
 def live(t, name: str):
-    """A stream over one input table."""
-    return t.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(t.directory)
+    """A stream over one input table, which is a file or a folder of part files.
+
+    A file can't be the root of a stream: its folder is, and a filter on names picks the file.
+    """
+    reader = t.spark.readStream.schema(SCHEMAS[name])
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.directory}/{name}.parquet")
+    if path.getFileSystem(t.spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return reader.parquet(path.toString())
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.directory)
 
 
 END = -1
