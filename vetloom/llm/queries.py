@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vetloom.llm import bpe, decontaminate, licences, line_dedup, quality, secret_scan, sharding, simhash, url_trie, warc
+from vetloom.llm import (
+    bpe, decontaminate, exact_dedup, lexical_search, licences, line_dedup, prefix_trie, quality, secret_scan, sharding, simhash, url_trie, warc,
+)
 from vetloom.sources.tables import read_table
 
 #: Entries of the url filter.
@@ -61,11 +63,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_guess_cost, op2_warc_transactions, op3_url_trie, op4_byte_bpe, op5_quality_cascade, op6_licence_classifier,
-        op7_simhash_gray_index, op8_line_dedup, op9_shard_table, op10_decontaminate,
+        op7_simhash_gray_index, op8_line_dedup, op9_shard_table, op10_decontaminate, op11_bloom_search,
+        op12_digest_index, op13_prefix_trie,
     )
 }
 
@@ -171,6 +186,49 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(hit.n, 0) as
 from w left join hit using (doc_id) left join items using (doc_id) left join long using (doc_id)
 """
 
+SEARCH_SQL = r"""
+with d as (select doc_id, row_number() over () as r, text as t from documents),
+dw as (select doc_id, r, unnest(regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+tf as (select doc_id, r, term, cast(count(*) as bigint) as tf from dw group by all),
+len as (select r, cast(sum(tf) as bigint) as n from tf group by 1),
+tot as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_all from len),
+i as (select item_id, row_number() over () as q, text as t from benchmark),
+iw as (select distinct item_id, q, unnest(regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from i),
+df as (select term, count(*) as df from tf where term in (select term from iw) group by 1),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1))) as bigint) as w from df, tot),
+s as (select item_id, q, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_all)))) as bigint) as score
+  from iw join w using (term) join tf using (term) join len using (r), tot group by all),
+ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+"""
+
+DIGEST_SQL = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+r as (select *, row_number() over (partition by t order by doc_id nulls last) as place from n)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, place = 1 as kept, sha256(t) as text_sha256 from r
+"""
+
+TRIE_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+own as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, md5(length(role) || ':' || role || text)) as turns from t group by 1),
+crc as (select *, coalesce(xor(list_reduce([ord(x) for x in string_split(conv_id::varchar, '')], lambda c, b: list_reduce(range(8), lambda v, k:
+    case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(c, b)), 4294967295), 4294967295) % 4, 0) as h from own),
+whole as (select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+  from crc c left join own b on b.conv_id = c.conv_id - c.conv_id % 20),
+steps as (select conv_id, turns, unnest(range(len(turns) + 1)) as d from whole),
+node as (select turns[1:d] as path, d, min(conv_id) as conv_id, count(*) as n, list(conv_id order by conv_id) filter (where len(turns) = d and conv_id is not null) as ends
+  from steps group by 1, 2),
+kids as (select path[1:d - 1] as path, count(*) as n from node where d > 0 group by 1),
+each as (select n.path, n.d, n.n, kids.path is null as leaf,
+  case when d > 0 then (n.n - 1) * len(regexp_extract_all(n.path[d].text, '[^\x20\x09-\x0D]+')) else 0 end as saved from node n left join kids using (path)),
+below as (select path[1:u] as path, sum(leaf::int) as leaves, sum(saved) as saved from (select *, unnest(range(d + 1)) as u from each) group by 1)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(kids.n, 0) as n_children, cast(b.leaves as bigint) as n_leaves,
+  cast(b.saved as bigint) as saved_tokens, sha256(coalesce(array_to_string(n.ends, ','), '')) as ends_sha256
+from node n join below b using (path) left join kids using (path) left join node p on n.d > 0 and p.path = n.path[1:n.d - 1]
+"""
+
 #: Queries without an entry have no SQL form: guess costs, byte-level merges, a trained model, XXH64.
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_transactions": WARC_SQL,
@@ -179,4 +237,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": LINES_SQL,
     "op9_shard_table": SHARD_SQL,
     "op10_decontaminate": BENCHMARK_SQL,
+    "op11_bloom_search": SEARCH_SQL,
+    "op12_digest_index": DIGEST_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
