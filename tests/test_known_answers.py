@@ -100,25 +100,6 @@ def test_scans_equal_plain_windows(tables):
     assert ours.select("event_id", "rn", "p").exceptAll(plain.withColumn("rn", F.col("rn").cast("bigint"))).count() == 0
 
 
-MENTION_TEXTS = [
-    (1, "Acme Union Holdings hired. We saw Acme. Union of Acme-Union (Pty) Ltd"), (2, "Red ring and red ring box, blue ring"), (3, "no names"), (4, None),
-    (5, "ACME UNION LTD, acme union ltd; Acme Union Limitedx acme  union"), (6, "red ring box ltd red ring"), (8, "Blue Ring Group"), (7, "x_red ring red ringing"),
-]
-MENTIONS = {
-    (1, "Acme Union", "acme union holdings", 1), (8, "Blue Ring", "blue ring group", 1), (2, "Red Ring", "red ring", 1), (2, "Red Ring Box", "red ring box", 1),
-    (2, "Blue Ring", "blue ring", 1), (5, "Acme Union", "acme union ltd", 2), (5, "Acme Union", "acme union", 1), (6, "Red Ring Box", "red ring box ltd", 1), (6, "Red Ring", "red ring", 1),
-}
-
-
-def test_mentions_are_the_same_for_dictionaries_of_every_size(spark):
-    docs = spark.createDataFrame(MENTION_TEXTS, "doc_id int, text string")
-    few = [("Red Ring", "a"), ("Red Ring Box", "b"), ("Blue Ring", "c"), ("Acme Union", "d")]
-    for names in (few, few + [(f"Zq{i} Works", "e") for i in range(5_000)]):
-        got = J.dictionary_mentions(docs, spark.createDataFrame(names, "name string, descriptor string"), "doc_id", "text")
-        assert {(r["doc_id"], r["name"], r["mention"], r["n"]) for r in got.collect()} == MENTIONS
-    assert J.dictionary_mentions(docs, spark.createDataFrame([], "name string, descriptor string"), "doc_id", "text").count() == 0
-
-
 def test_confidential_blocks_of_any_length_go_whole(spark):
     block = "Internal notes:\n" + "\n".join(f"line {i} keep this to yourself" for i in range(80))
     docs = spark.createDataFrame([(1, f"Start\n{block}\n\nRequirements\nTwo years"), (2, f"Start\n{block}")], "doc_id int, text string")

@@ -8,6 +8,7 @@ from vetloom.catalog.predicates import NOW  # noqa: F401  (same clock)
 from vetloom.catalog.registry import query
 from vetloom.functions.phrases import literal
 from vetloom.operators import joins as J
+from vetloom.operators import mentions as M
 
 
 def roster_inputs(t):
@@ -100,7 +101,7 @@ def _(t):
     return J.overlap_any(published, J.sentences(t.documents, ["source"], "text", "sentence"), "source")
 
 
-_ENDINGS = "|".join(literal(e) for e in J.CORPORATE_ENDINGS)
+_ENDINGS = "|".join(literal(e) for e in M.CORPORATE_ENDINGS)
 
 
 @query(
@@ -110,4 +111,4 @@ _ENDINGS = "|".join(literal(e) for e in J.CORPORATE_ENDINGS)
     select doc_id, name, mention, count(*) as n, descriptor from m join names_v on lower(name) = key group by all""",
 )
 def _(t):
-    return J.dictionary_mentions(t.briefs_v, t.names_v, "doc_id", "text")
+    return M.dictionary_mentions(t.briefs_v, t.names_v, "doc_id", "text")

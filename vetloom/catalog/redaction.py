@@ -10,7 +10,7 @@ from vetloom.catalog.registry import SQL_VIEWS, query
 from vetloom.catalog.review import LEGACY, q, review_ctes, sql_cut, sql_each
 from vetloom.functions import patterns as R
 from vetloom.functions.phrases import literal
-from vetloom.operators import joins as J
+from vetloom.operators import mentions as M
 from vetloom.operators import redaction as D
 from vetloom.operators import review as V
 from vetloom.operators import windows as W
@@ -188,7 +188,7 @@ _DECLARED = f"""coalesce({_struct(rf"list_filter({_first_distinct(_GROUPS(R.DECL
     rf"and not regexp_matches(n, '{R.ROLE_WORDS_DECLARED}') and len(regexp_split_to_array(n, '\s+')) <= 6)")}, {_NONE})"""
 _UNKNOWN = f"""coalesce({_struct(rf"list_filter({_first_distinct(_GROUPS(R.UNKNOWN_NAME))}, lambda n: length(n) between 3 and 60 and not regexp_matches(n, '{R.GENERIC_WORDS}|northstar') "
     rf"and not regexp_matches(n, '{R.ROLE_WORDS_UNKNOWN}'))")}, {_NONE})"""
-_TAIL = "|".join(literal(e) for e in J.CORPORATE_ENDINGS)
+_TAIL = "|".join(literal(e) for e in M.CORPORATE_ENDINGS)
 _PATTERN = rf"""pat as (select '(?i)\b(' || string_agg(name, '|' order by length(name) desc, name) || ')({q(_TAIL)})?\b' as pat, map_from_entries(list((lower(name), descriptor))) as dict from names_v)"""
 _KNOWN_RAW = """list_transform(range(1, len(regexp_extract_all(text, pat, 0)) + 1), lambda i: {'mention': regexp_extract_all(text, pat, 0)[i],
     'descriptor': dict[lower(regexp_extract_all(text, pat, 1)[i])], 'confidence': 'high'})"""
@@ -220,15 +220,13 @@ def _names_sql(mentions: str) -> str:
 
 def _with_mentions(t, mentions):
     docs = texts(t).withColumn("log", F.array().cast(D.LOG_TYPE)).withColumn("__m", mentions)
-    logged = docs.withColumn("log", F.concat("log", D.mentions_log(F.col("text"), F.col("__m"))))
-    return shown(logged.withColumn("text", D.replace_mentions(F.col("text"), F.col("__m"))))
+    return shown(M.apply_mentions(docs, "text", F.col("__m")))
 
 
 @query("redact_dictionary_names", _names_sql(_KNOWN))
 def _(t):
     docs = D.with_known_mentions(texts(t).withColumn("log", F.array().cast(D.LOG_TYPE)), "doc_id", "text", t.names_v)
-    logged = docs.withColumn("log", F.concat("log", D.mentions_log(F.col("text"), F.col("__known"))))
-    return shown(logged.withColumn("text", D.replace_mentions(F.col("text"), F.col("__known"))))
+    return shown(M.apply_mentions(docs, "text", F.col("__known")))
 
 
 @query("redact_declared_names", _names_sql(_DECLARED))

@@ -16,7 +16,7 @@ from vetloom.functions import patterns as R
 from vetloom.functions import text as X
 from vetloom.functions.phrases import literal
 from vetloom.functions.text import let
-from vetloom.operators.joins import CORPORATE_ENDINGS, mention_hits
+from vetloom.operators.mentions import CORPORATE_ENDINGS, apply_mentions, with_hits
 from vetloom.operators.review import MARK, cut, cut_matches, replace_each
 
 LOG_TYPE = "array<struct<type:string,match:string,n:bigint,replacement:string,confidence:string,category:string>>"
@@ -248,43 +248,9 @@ def new_mentions(found: Column, candidates: Column, contained: bool = False) ->
 
 def with_known_mentions(docs: DataFrame, key: str, column: str, names: DataFrame, endings: Sequence[str] = CORPORATE_ENDINGS) -> DataFrame:
     """Documents with ``__known``: the dictionary names in the text, each once, in order of their first place."""
-    hits = mention_hits(docs, names, key, column, endings)
     mention = lambda h: F.struct(h["mention"].alias("mention"), h["descriptor"].alias("descriptor"), F.lit("high").alias("confidence"))
-    listed = hits.select(F.col(key).alias("__key"), F.array_distinct(F.transform("hits", mention)).alias("__known"))
-    known = docs.join(listed, docs[key].eqNullSafe(listed["__key"]), "left").drop("__key")
-    return known.withColumn("__known", F.coalesce("__known", F.array().cast(MENTION)))
-
-
-def _ordered(mentions: Column) -> Column:
-    """Longest first, then in text order."""
-    keyed = F.transform(mentions, lambda m, i: F.struct((-F.length(m["mention"])).alias("size"), i.alias("i"), m.alias("m")))
-    return F.transform(F.array_sort(keyed), lambda k: k["m"])
-
-
-def _whole_word(mention: Column) -> Column:
-    return F.concat(F.lit("(?i)" + X.ASCII_BOUNDARY + r"\Q"), mention, F.lit(r"\E" + X.ASCII_BOUNDARY))
-
-
-def mentions_log(text: Column, mentions: Column) -> Column:
-    """Entries of the replacements of ``mentions``, longest first, each counted in what the longer ones left."""
-    start = F.struct(text.alias("text"), F.array().cast(LOG_TYPE).alias("log"))
-
-    def add(state: Column, m: Column) -> Column:
-        n = F.call_function("regexp_count", state["text"], _whole_word(m["mention"])).cast("bigint")
-        entry = F.struct(
-            F.lit("company_name").alias("type"), m["mention"].alias("match"), n.alias("n"), m["descriptor"].alias("replacement"),
-            m["confidence"].alias("confidence"), F.lit("Client Identity").alias("category"),
-        )
-        return F.struct(
-            F.regexp_replace(state["text"], _whole_word(m["mention"]), m["descriptor"]).alias("text"),
-            F.when(n > 0, F.concat(state["log"], F.array(entry))).otherwise(state["log"]).alias("log"),
-        )
-
-    return F.aggregate(_ordered(mentions), start, add, lambda s: s["log"])
-
-
-def replace_mentions(text: Column, mentions: Column) -> Column:
-    return F.aggregate(_ordered(mentions), text, lambda done, m: F.regexp_replace(done, _whole_word(m["mention"]), m["descriptor"]))
+    found = with_hits(docs, key, column, names, endings)
+    return found.withColumn("__known", F.array_distinct(F.transform("__hits", mention)).cast(MENTION)).drop("__hits")
 
 
 # ---- identifiers -----------------------------------------------------------------------------------
@@ -437,8 +403,7 @@ def redact_names(docs: DataFrame, key: str, column: str, names: DataFrame, house
     """
     known = with_known_mentions(docs, key, column, names)
     marked = known.withColumn("__mentions", _all_mentions(F.col(column), F.col("__known"), house))
-    logged = marked.withColumn("log", F.concat("log", mentions_log(F.col(column), F.col("__mentions"))))
-    return logged.withColumn(column, replace_mentions(F.col(column), F.col("__mentions"))).drop("__known", "__mentions")
+    return apply_mentions(marked, column, F.col("__mentions")).drop("__known", "__mentions")
 
 
 def sanitise_documents(

@@ -1,8 +1,9 @@
-"""Parallelism for tables that arrive in fewer pieces than there are cores."""
+"""Parallelism: tables that arrive in fewer pieces than there are cores, and joins on keys that many rows share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -13,3 +14,14 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def met_by_size(rows: DataFrame, classes: DataFrame, key: str, limit: int) -> DataFrame:
+    """``rows`` joined with the one row that ``classes`` has per ``key``; ``size`` there is the number of rows of the key.
+
+    Keys of more than ``limit`` rows, fewer than one in ``limit`` rows, meet by broadcast; the others by a join that spreads them.
+    """
+    common = classes.where(F.col("size") > limit)
+    near = rows.join(F.broadcast(common), key)
+    others = rows.join(F.broadcast(common.select(key)), key, "left_anti")
+    return near.unionByName(others.join(classes.where(F.col("size") <= limit), key))
