@@ -7,12 +7,12 @@ term with the number of its documents.
 
 A search. The bitmap of a term and level is the conjunction of its slices: it has all documents that hold the term so
 often, and few others. Summed with the terms' weights, level by level, the bitmaps give an upper bound of every document's
-score. The ``k`` documents of the largest bounds are scored exactly; their smallest score is a floor of the answer. Then
-all documents whose bound reaches the floor are scored exactly, from their whole texts, and the ``k`` best stay. A document
+score. A few times ``k`` documents of the largest bounds are scored exactly; the ``k``-th best of those scores is a floor of
+the answer. Then all documents whose bound reaches the floor are scored exactly, from their whole texts, and the ``k`` best stay. A document
 is left out only if its bound proves that it can't be among them.
 
-Queries are searched in blocks of bounded size; each block is one pass over the index, which is about a tenth of the
-corpus. Equal texts (128 bits of hash) are scored once, and each text sends at most ``k`` of its rows, those of the smallest
+Queries are searched in blocks of bounded size; each block is two passes over the index, which is about a fifth
+of the corpus. Equal texts (128 bits of hash) are scored once, and each text sends at most ``k`` of its rows, those of the smallest
 ids, into the final order, so a text that a third of all rows share costs as much as any other.
 
 A null or empty text has no terms: it counts nowhere and is never found. Repeated rows count each, and each is a result.
@@ -38,13 +38,15 @@ from vetloom.session import checkpoint_dir
 
 #: ASCII letters and digits and all other bytes from 0x80 on are parts of terms, A-Z as a-z; the rest are blanks.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
-BITS_PER_KEY = 8
-HASHES = 4
+BITS_PER_KEY = 12
+HASHES = 6
 #: Bits of a block while it is made (one byte each), and documents of a block.
 BLOCK_BITS = 1 << 23
 BLOCK_DOCS = 1024
 #: Terms that a task counts before it passes the counts on.
 COUNTED = 400_000
+#: Documents scored for the floor, in multiples of ``k``: short texts have large bounds by chance, some of the best fall away.
+FLOOR_TIMES = 4
 #: Queries, and their terms, that one pass over the index takes.
 PASS_QUERIES = 2_000
 PASS_TERMS = 200_000
@@ -188,12 +190,13 @@ class LexicalIndex:
     def _pass(self, weighed: list, k: int) -> DataFrame:
         """``uid, t1, t2, score`` of all documents that can be among the ``k`` best of the queries of one pass."""
         asked = _Queries(weighed, self.n_docs, self.n_words)
-        bounds = self.blocks.mapInArrow(lambda batches: asked.largest(batches, k), "uid long, bound long, t1 long, t2 long")
-        first = bounds.withColumn("at", F.row_number().over(Window.partitionBy("uid").orderBy(F.col("bound").desc(), "t1", "t2"))).where(F.col("at") <= k)
-        first = cut(first.select("uid", "t1", "t2"))
-        scored = self._scored(first, asked, small=True)
-        floors = first.join(scored, ["uid", "t1", "t2"]).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
-        floor = {r.uid: r.floor for r in floors.where(F.col("n") >= k).collect()}
+        several = k * FLOOR_TIMES
+        bounds = self.blocks.mapInArrow(lambda batches: asked.largest(batches, several), "uid long, bound long, t1 long, t2 long")
+        largest = F.row_number().over(Window.partitionBy("uid").orderBy(F.col("bound").desc(), "t1", "t2"))
+        first = cut(bounds.withColumn("at", largest).where(F.col("at") <= several).select("uid", "t1", "t2"))
+        scored = first.join(self._scored(first, asked, small=True), ["uid", "t1", "t2"])
+        best = scored.withColumn("at", F.row_number().over(Window.partitionBy("uid").orderBy(F.col("score").desc())))
+        floor = {r.uid: r.score for r in best.where(F.col("at") == k).collect()}
         reached = self.blocks.mapInArrow(lambda batches: asked.reached(batches, floor), "uid long, t1 long, t2 long")
         return cut(self._scored(cut(reached.distinct()), asked, small=False).where("score > 0"))
 
