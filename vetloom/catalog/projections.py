@@ -350,7 +350,7 @@ def _(t):
 
 
 _EDGES = r"""select distinct workbook_id, 'data!E' || cast(row_no as varchar) as from_ref, 'data!' || unnest(list_concat(
-      [upper(replace(regexp_extract(text, '^=(\$?[A-J]\$?[0-9]+)', 1), '$', ''))], ['B1', 'B2', 'B3'],
+      [upper(replace(regexp_extract(text, '^=(\$?[A-J]\$?[0-9]+)', 1), '$', ''))], ['B1', 'B2', 'B3', 'C2'],
       [upper(regexp_extract(text, 'Data!([a-j][0-9]+)', 1))])) as to_ref from cells_v where text like '=%'"""
 
 

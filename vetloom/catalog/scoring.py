@@ -13,20 +13,17 @@ from vetloom.operators import scoring as S
 # The checker grades in its own terms: one CASE per item over the typed answers.
 SQL_VIEWS["asked_v"] = """
     select a.attempt_id, a.definition_id, i.* exclude (definition_id) from attempts_v a join items_v i on a.definition_id = i.definition_id"""
-SQL_VIEWS["cells_read_v"] = f"with {amount_ctes('answers_v', 'cell')} select attempt_id, item_id, amount from am"
-SQL_VIEWS["graded_v"] = r"""
-    select q.attempt_id, q.definition_id, q.item_id, type, section, category, level, points, r.single is not null as answered,
-      case when r.single is not null then case q.item_id when 1 then single = 'N' when 2 then single = 'A'
+SQL_VIEWS["given_v"] = """
+    select q.*, r.* exclude (attempt_id, item_id) from asked_v q left join answers_v r on r.attempt_id = q.attempt_id and r.item_id = q.item_id"""
+SQL_VIEWS["graded_v"] = rf"""
+    with {amount_ctes('given_v', 'cell')}, judged as (select *, single is not null as answered,
+      case item_id when 1 then single = 'N' when 2 then single = 'A'
         when 3 then multi_1 = 'N' and multi_2 = 'O' when 4 then coalesce(abs(amount - 25) <= 1 + 1e-9, false)
         when 5 then upper(typed) = 'NO' when 6 then regexp_replace(upper(code), '[^A-Z0-9]', '', 'g') = 'GRN7'
-        else line_1 in ('N', 'A') and line_2 = 'O' end end as correct,
-      case when r.single is null then 0 when q.item_id = 7 then cast(line_1 in ('N', 'A') as int) + cast(line_2 = 'O' as int)
-        when (case q.item_id when 1 then single = 'N' when 2 then single = 'A' when 3 then multi_1 = 'N' and multi_2 = 'O'
-          when 4 then coalesce(abs(amount - 25) <= 1 + 1e-9, false) when 5 then upper(typed) = 'NO'
-          else regexp_replace(upper(code), '[^A-Z0-9]', '', 'g') = 'GRN7' end) then points else 0 end as awarded,
-      coalesce(q.item_id in (1, 3) and r.single = 'R', false) as unsafe_hit
-    from asked_v q left join answers_v r on r.attempt_id = q.attempt_id and r.item_id = q.item_id
-    left join cells_read_v c on c.attempt_id = q.attempt_id and c.item_id = q.item_id"""
+        else line_1 in ('N', 'A') and line_2 = 'O' end as fits from am)
+    select * exclude (fits, amount), case when answered then fits end as correct,
+      case when not answered then 0 when item_id = 7 then cast(line_1 in ('N', 'A') as int) + cast(line_2 = 'O' as int)
+        when fits then points else 0 end as awarded, coalesce(item_id in (1, 3) and single = 'R', false) as unsafe_hit from judged"""
 
 
 def joined(t):
@@ -95,9 +92,7 @@ _OVERALL = """overall as (select attempt_id, sum(awarded) as overall_score, sum(
 
 @query("overall_score", f"with {_OVERALL} select *, knowledge_score + reconciliation_score as weighted from overall")
 def _(t):
-    rows = graded(t)
-    weighted = S.overall_score(rows, capped=False).select("attempt_id", F.col("overall_score").alias("weighted"))
-    return S.overall_score(rows).join(weighted, "attempt_id")
+    return S.overall_score(graded(t), weighted=True)
 
 
 @query("pass_flag", f"with {_OVERALL} select *, overall_score * 100.0 / score_max >= 75 as passed from overall")
@@ -147,7 +142,7 @@ def _(t):
     """select g.attempt_id, g.item_id, section || ': Question ' || g.item_id as prompt, coalesce(case g.type when 'single' then single when 'multi' then multi_1 || '; ' || multi_2
       when 'text' then typed when 'ref' then code when 'match' then 'l1: ' || line_1 || '; l2: ' || line_2 else cell end, 'Not answered') as chosen,
       case g.item_id when 1 then 'N' when 2 then 'A' when 3 then 'N; O' when 4 then '25' when 5 then 'no' when 6 then 'GRN-7' else 'l1: N; l2: O' end as expected, correct
-    from graded_v g left join answers_v r on r.attempt_id = g.attempt_id and r.item_id = g.item_id""",
+    from graded_v g""",
 )
 def _(t):
     return S.result_review(joined(t), t.key_v)

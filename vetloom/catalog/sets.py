@@ -45,8 +45,9 @@ def _(t):
 
 @query(
     "content_fingerprint",
-    r"""with f as (select workbook_id, sha256(string_agg('data!' || lower(col) || row_no || '=' || lower(trim(text)), chr(10)
-      order by 'data!' || lower(col) || row_no || '=' || lower(trim(text)))) as fingerprint from (select * from cells_v where col <> 'A' and col <> 'E') x group by 1)
+    r"""with m as (select workbook_id, md5('data!' || lower(col) || row_no || '=' || lower(trim(text))) as m from cells_v where col <> 'A' and col <> 'E'),
+    h as (select workbook_id, ('0x' || substr(m, 1, 15))::bigint as a, ('0x' || substr(m, 16, 15))::bigint as b from m),
+    f as (select workbook_id, count(*) || '-' || sum(a)::varchar || '-' || sum(b)::varchar || '-' || bit_xor(a) as fingerprint from h group by 1)
     select workbook_id, fingerprint, count(*) over (partition by fingerprint) as copies, min(workbook_id) over (partition by fingerprint) as first_workbook from f""",
 )
 def _(t):

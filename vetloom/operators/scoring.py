@@ -97,11 +97,16 @@ GRADED = ["attempt_id", "definition_id", "item_id", "type", "section", "category
           "awarded", "unsafe_hit"]
 
 
-def grade_items(joined: DataFrame, key: DataFrame) -> DataFrame:
-    """One verdict per attempt and item. ``correct`` stays null when nothing was given."""
+def _graded(joined: DataFrame, key: DataFrame) -> DataFrame:
+    """Every column of the responses and of the key, with the verdicts."""
     keyed = joined.join(key, "item_id")
     best = F.when((F.col("type") == "match") & F.col("lines").isNotNull(), best_key(F.col("lines"), F.col("answer_lines"), F.col("alternatives")))
-    return keyed.withColumn("best", best).withColumns(_graded_columns()).select(*GRADED)
+    return keyed.withColumn("best", best).withColumns(_graded_columns())
+
+
+def grade_items(joined: DataFrame, key: DataFrame) -> DataFrame:
+    """One verdict per attempt and item. ``correct`` stays null when nothing was given."""
+    return _graded(joined, key).select(*GRADED)
 
 
 def match_best_key(responses: DataFrame, items: DataFrame, key: DataFrame) -> DataFrame:
@@ -147,11 +152,8 @@ def score_rollup(graded: DataFrame, by: str = "attempt_id") -> DataFrame:
 KNOWLEDGE_WEIGHT, RECONCILIATION_WEIGHT = 40, 60
 
 
-def overall_score(graded: DataFrame, by: str = "attempt_id", capped: bool = True) -> DataFrame:
-    """Total and maximum per attempt, with the two category scores on their 40 and 60 point scales.
-
-    With declared caps the total is the sum of points; without them it is the sum of both scaled scores.
-    """
+def _scores(graded: DataFrame, by: str) -> DataFrame:
+    """Plain total and maximum, the two category scores on their scales, and ``weighted``, their sum where both have points."""
 
     def part(category: str, column: str) -> Column:
         return F.sum(F.when(F.col("category") == category, F.col(column)).otherwise(0))
@@ -168,13 +170,23 @@ def overall_score(graded: DataFrame, by: str = "attempt_id", capped: bool = True
     scores = sums.withColumn("knowledge_score", scaled(KNOWLEDGE_WEIGHT, "k", "k_max")).withColumn(
         "reconciliation_score", scaled(RECONCILIATION_WEIGHT, "r", "r_max")
     )
+    both = (F.col("k_max") > 0) & (F.col("r_max") > 0)
+    return scores.withColumn("weighted", F.when(both, F.col("knowledge_score") + F.col("reconciliation_score")))
+
+
+def overall_score(graded: DataFrame, by: str = "attempt_id", capped: bool = True, weighted: bool = False) -> DataFrame:
+    """Total and maximum per attempt, with the two category scores on their 40 and 60 point scales.
+
+    With declared caps the total is the sum of points; without them it is the sum of both scaled scores, which ``weighted``
+    adds to the capped form as a column of its own, from the same pass.
+    """
+    scores = _scores(graded, by)
     if capped:
         total, maximum = F.col("earned"), F.col("max")
     else:
-        both = (F.col("k_max") > 0) & (F.col("r_max") > 0)
-        total = F.when(both, F.col("knowledge_score") + F.col("reconciliation_score"))
-        maximum = F.when(both, F.lit(KNOWLEDGE_WEIGHT + RECONCILIATION_WEIGHT))
-    return scores.select(by, total.alias("overall_score"), maximum.alias("score_max"), "knowledge_score", "reconciliation_score")
+        total, maximum = F.col("weighted"), F.when(F.col("weighted").isNotNull(), F.lit(KNOWLEDGE_WEIGHT + RECONCILIATION_WEIGHT))
+    extra = ["weighted"] if weighted else []
+    return scores.select(by, total.alias("overall_score"), maximum.alias("score_max"), "knowledge_score", "reconciliation_score", *extra)
 
 
 def pass_flag(scores: DataFrame, pass_percent: float = 75.0) -> DataFrame:
@@ -234,7 +246,6 @@ def item_facility(graded: DataFrame) -> DataFrame:
 
 def result_review(joined: DataFrame, key: DataFrame) -> DataFrame:
     """One row per item: prompt, chosen text or "Not answered", expected text, correct."""
-    graded = grade_items(joined, key).select("attempt_id", "item_id", "correct")
     kind = F.col("type")
     lines = F.array_join(F.transform(F.array_sort(F.map_keys("lines")), lambda k: F.concat_ws(": ", k, F.col("lines")[k])), "; ")
     chosen = (
@@ -245,11 +256,10 @@ def result_review(joined: DataFrame, key: DataFrame) -> DataFrame:
         F.col("answer"), F.array_join("answer_set", "; "), X.number_text(F.col("answer_number")),
         F.array_join(F.transform(F.array_sort(F.map_keys("answer_lines")), lambda k: F.concat_ws(": ", k, F.col("answer_lines")[k])), "; "),
     )
-    shown = joined.join(key, "item_id").select(
+    return _graded(joined, key).select(
         "attempt_id", "item_id", F.concat("section", F.lit(": "), "prompt").alias("prompt"),
-        F.coalesce(chosen, F.lit("Not answered")).alias("chosen"), expected.alias("expected"),
+        F.coalesce(chosen, F.lit("Not answered")).alias("chosen"), expected.alias("expected"), "correct",
     )
-    return shown.join(graded, ["attempt_id", "item_id"])
 
 
 def candidate_view(sections: DataFrame, overall: DataFrame, by: str = "attempt_id") -> DataFrame:

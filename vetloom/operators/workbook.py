@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vetloom.functions import amounts as A
 from vetloom.functions.text import trim_all
 from vetloom.plans import scans
+from vetloom.plans.spread import looked_up
 
 COLUMNS = list("ABCDEFGHIJ")
 LAST_ROW = 40
@@ -185,81 +186,94 @@ def count_if_criteria(cells: DataFrame, sheet: str, tested: str, rows: tuple[int
 
 
 def range_rows(cells: DataFrame, sheet: str, first_col: str, value_col: str) -> DataFrame:
-    """Per workbook the rows of a two-column table in order, as one array; a workbook is one unit of work."""
-    inside = cells.filter(
-        (F.lower("sheet") == sheet.lower()) & F.col("col").isin(first_col, value_col)
-    )
-    pair = inside.groupBy("workbook_id", "row_no").agg(
+    """``(workbook_id, row_no, k, v)``: the rows of each workbook's two-column table."""
+    inside = cells.filter((F.lower("sheet") == sheet.lower()) & F.col("col").isin(first_col, value_col) & F.col("workbook_id").isNotNull())
+    return inside.groupBy("workbook_id", "row_no").agg(
         F.max(F.when(F.col("col") == first_col, F.col("text"))).alias("k"),
         F.max(F.when(F.col("col") == value_col, F.col("text"))).alias("v"),
     )
-    return pair.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "k", "v"))).alias("rows"))
 
 
-NO_ROWS = "array<struct<row_no:int,k:string,v:string>>"
+def _hit(table: DataFrame) -> DataFrame:
+    """Rows of a table with their typed key ``__cell`` and what a search returns of them."""
+    return table.select("workbook_id", F.struct("row_no", "k", "v").alias("__hit"), A.numeric_cell(F.col("k")).alias("__cell"))
 
 
-def _with_rows(keys: DataFrame, tables: DataFrame, key: str) -> DataFrame:
-    joined = keys.join(tables, "workbook_id", "left")
-    return joined.withColumn("rows", F.coalesce("rows", F.array().cast(NO_ROWS))).withColumn("__key", A.numeric_cell(F.col(key)))
+def _first_errors(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("__cell.kind") == "error").groupBy("workbook_id").agg(F.min("__hit").alias("__error"))
 
 
-def _is_error(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).startswith("#")
+def _equal_form(cell: Column) -> Column:
+    """Two cells are equal if their forms are: text in upper case, numbers as shown (a blank counts as 0), TRUE or FALSE; errors have none."""
+    number = A.number_text(F.coalesce(cell["num"], F.lit(0.0)) + F.lit(0.0))
+    return F.when(cell["kind"].isin("number", "blank"), number).when(cell["kind"] != "error", F.upper(A.cell_text(cell)))
 
 
-def _equal_row(r: Column, key: Column) -> Column:
-    return (F.coalesce(r["k"], F.lit("")) != "") & A.cell_equal(A.numeric_cell(r["k"]), key)
+def _shown(hit: Column, value: Column) -> Column:
+    """The value of a hit, the error the search ran into, or ``#N/A``."""
+    error = F.coalesce(hit["k"], F.lit("")).startswith("#")
+    return F.when(hit.isNull(), "#N/A").when(error, hit["k"]).otherwise(F.coalesce(value, F.lit("")))
 
 
-def _not_above(r: Column, key: Column) -> Column:
-    cell = A.numeric_cell(r["k"])
-    return (cell["kind"] == key["kind"]) & (cell["kind"] != "blank") & (A.cell_compare(cell, key) <= 0)
+def _first_exact(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``keys`` with ``__hit``: the first row that equals the key, or the first error before it.
 
+    First rows per form and first errors are partial aggregates; the keys meet one row each.
+    """
+    rows = _hit(table)
+    filled = rows.where(~F.col("__cell.kind").isin("blank", "error")).select("workbook_id", "__hit", _equal_form(F.col("__cell")).alias("__form"))
+    first = filled.groupBy("workbook_id", "__form").agg(F.min("__hit").alias("__first"))
+    asked = keys.withColumn("__form", _equal_form(A.numeric_cell(F.col(key))))
+    found = looked_up(looked_up(asked, first, ["workbook_id", "__form"]), _first_errors(rows), ["workbook_id"])
+    return found.withColumn("__hit", F.least("__first", "__error")).drop("__form", "__first", "__error")
 
-def _shown(hit: Column, value: Column) -> Column:
-    """The value of a hit, the error the search ran into, or ``#N/A``."""
-    return F.when(hit.isNull(), "#N/A").when(_is_error(hit["k"]), hit["k"]).otherwise(F.coalesce(value, F.lit("")))
 
+def _last_not_above(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``keys`` with ``__hit``: the last row in table order that doesn't exceed the key; an error anywhere in the column comes first.
 
-def _first_exact(key: Column) -> Column:
-    """First row that equals the key, or the first error met on the way."""
-    return F.get(F.filter("rows", lambda r: _is_error(r["k"]) | _equal_row(r, key)), F.lit(0))
+    An as-of join: cells and keys are sorted together by workbook, type and value, and a key takes the greatest row number
+    so far. Neither a workbook nor a value is gathered.
+    """
+    rows = _hit(table)
+    typed = ["workbook_id", "__kind", "__num", "__text"]
 
+    def placed(df: DataFrame, cell: Column, asks: bool, hit: Column, row: Column) -> DataFrame:
+        text = F.when(cell["kind"] == "text", F.upper(cell["txt"]))
+        return df.select(
+            "workbook_id", cell["kind"].alias("__kind"), (cell["num"] + F.lit(0.0)).alias("__num"), text.alias("__text"), F.lit(asks).alias("__asks"),
+            F.xxhash64(row if asks else hit).alias("__tie"), hit.alias("__hit"), row.alias("__row"),
+        )
 
-def _last_not_above(key: Column) -> Column:
-    """Last row in table order not above the key; an error anywhere in the column comes first."""
-    errors = F.filter("rows", lambda r: _is_error(r["k"]))
-    hits = F.filter("rows", lambda r: _not_above(r, key))
-    return F.when(F.size(errors) > 0, F.get(errors, F.lit(0))).otherwise(F.get(hits, F.size(hits) - 1))
+    row = F.struct(*[F.col(c) for c in keys.columns])
+    kind, whole = rows.schema["__hit"].dataType, keys.select(row.alias("r")).schema["r"].dataType
+    cells = placed(rows.where(~F.col("__cell.kind").isin("blank", "error")), F.col("__cell"), False, F.col("__hit"), F.lit(None).cast(whole))
+    asked = placed(keys, A.numeric_cell(F.col(key)), True, F.lit(None).cast(kind), row)
+    scanned = scans.prefix_max(cells.unionByName(asked), typed[:2], [*typed[2:], "__asks", "__tie"], "__hit", "__last")
+    found = scanned.where("__asks").select("__row.*", "__last")
+    return looked_up(found, _first_errors(rows), ["workbook_id"]).withColumn("__hit", F.coalesce("__error", "__last")).drop("__last", "__error")
 
 
-def _lookup(keys: DataFrame, tables: DataFrame, key: str, col_no: int, search) -> DataFrame:
-    found = _with_rows(keys, tables, key).withColumn("__hit", search(F.col("__key")))
-    if not 1 <= col_no <= 2:
-        shown = F.lit("#REF!")
-    else:
-        shown = _shown(F.col("__hit"), F.col("__hit")["k" if col_no == 1 else "v"])
-    return found.withColumn("found", shown).drop("rows", "__key", "__hit")
+def _lookup(found: DataFrame, col_no: int) -> DataFrame:
+    shown = _shown(F.col("__hit"), F.col("__hit")["k" if col_no == 1 else "v"]) if 1 <= col_no <= 2 else F.lit("#REF!")
+    return found.withColumn("found", shown).drop("__hit")
 
 
-def lookup_exact(keys: DataFrame, tables: DataFrame, key: str, col_no: int = 2) -> DataFrame:
-    """Value beside the first row whose first column equals the key."""
-    return _lookup(keys, tables, key, col_no, _first_exact)
+def lookup_exact(keys: DataFrame, table: DataFrame, key: str, col_no: int = 2) -> DataFrame:
+    """Value beside the first row whose first column equals the key; ``table`` as of ``range_rows``."""
+    return _lookup(_first_exact(keys, table, key), col_no)
 
 
-def lookup_approx(keys: DataFrame, tables: DataFrame, key: str, col_no: int = 2) -> DataFrame:
+def lookup_approx(keys: DataFrame, table: DataFrame, key: str, col_no: int = 2) -> DataFrame:
     """Value beside the last row, in table order, whose first column has the key's type and does not exceed it."""
-    return _lookup(keys, tables, key, col_no, _last_not_above)
+    return _lookup(_last_not_above(keys, table, key), col_no)
 
 
-def match_position(keys: DataFrame, tables: DataFrame, key: str, kind: int = 1) -> DataFrame:
+def match_position(keys: DataFrame, table: DataFrame, key: str, kind: int = 1) -> DataFrame:
     """1-based position of the first equal entry (kind 0) or the last entry not above the key (kind 1)."""
     if kind not in (0, 1):
         return keys.withColumn("found", F.lit("#VALUE!"))
-    search = _last_not_above if kind else _first_exact
-    found = _with_rows(keys, tables, key).withColumn("__hit", search(F.col("__key")))
-    return found.withColumn("found", _shown(F.col("__hit"), F.col("__hit")["row_no"].cast("string"))).drop("rows", "__key", "__hit")
+    found = (_last_not_above if kind else _first_exact)(keys, table, key)
+    return found.withColumn("found", _shown(F.col("__hit"), F.col("__hit")["row_no"].cast("string"))).drop("__hit")
 
 
 def index_cell(cells: DataFrame, wanted: DataFrame, sheet: str, first: str, last: str) -> DataFrame:
@@ -277,18 +291,26 @@ def index_cell(cells: DataFrame, wanted: DataFrame, sheet: str, first: str, last
 
 
 def cell_reference_edges(cells: DataFrame) -> DataFrame:
-    """``(workbook_id, from_ref, to_ref)`` for every reference in a formula; ranges are expanded."""
+    """``(workbook_id, from_ref, to_ref)`` for every reference in a formula; ranges are expanded.
+
+    A formula is cut into whole names first, with the bracket of a call: ``A41``, ``RATE1`` and ``LOG10(`` hold no reference.
+    """
     formulas = cells.filter(F.substring(F.trim("text"), 1, 1) == "=")
-    body = F.regexp_replace(F.trim("text"), '"[^"]*"', "")
+    body = F.regexp_replace(F.trim("text"), '"[^"]*"', " ")
+    name = r"[A-Za-z0-9_.$!]+\(?"
     tokens = formulas.select(
         "workbook_id",
         "sheet",
         F.concat(F.lower("sheet"), F.lit("!"), F.upper("col"), F.col("row_no").cast("string")).alias("from_ref"),
-        F.explode(F.regexp_extract_all(body, F.lit(rf"(?:{CELL})(?:\s*:\s*{CELL})?"), F.lit(0))).alias("token"),
+        F.explode(F.regexp_extract_all(body, F.lit(rf"{name}(?:\s*:\s*{name})?"), F.lit(0))).alias("token"),
     )
-    ends = F.split(F.regexp_replace("token", r"\s", ""), ":")
-    start, stop = split_cell_ref(F.get(ends, F.lit(0))), split_cell_ref(F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))))
-    span = tokens.select(
+    ends = F.filter(F.split(F.regexp_replace("token", r"\s", ""), ":"), lambda e: F.regexp_like(e, F.lit(rf"^{CELL}\z")))
+    whole = F.size(ends) == F.size(F.split("token", ":"))
+    spans = F.when(whole, F.array(F.struct(F.get(ends, F.lit(0)).alias("a"), F.get(ends, F.size(ends) - 1).alias("b"))))
+    spans = spans.otherwise(F.transform(ends, lambda e: F.struct(e.alias("a"), e.alias("b"))))
+    pairs = tokens.select("workbook_id", "sheet", "from_ref", F.explode(F.filter(spans, lambda s: s["a"].isNotNull())).alias("s"))
+    start, stop = split_cell_ref(F.col("s.a")), split_cell_ref(F.col("s.b"))
+    span = pairs.select(
         "workbook_id",
         "from_ref",
         F.when(start["sheet"] == "", F.col("sheet")).otherwise(start["sheet"]).alias("sheet"),

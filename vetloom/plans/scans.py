@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vetloom.session import checkpoint_dir
+
 CHUNK = "__chunk"
 
 
@@ -114,3 +116,29 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
 def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per group: the first in the given order."""
     return first_rows(df, keys, order, 1, "__rank").drop("__rank")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: its partitions stay as they are, and lost executors cost no earlier work."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def prefix_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Running ``max(value)`` over (keys, order) as ``name``, over range partitions that cut a group of any size.
+
+    The rows are sorted once by (keys, order); every partition scans its own stretch of each group. At most one group goes on
+    from one partition into the next, so the maxima carried over are at most one row per partition, and are broadcast. Rows
+    that are equal in (keys, order) have the order in which they happen to stand.
+    """
+    part = "__part"
+    placed = fixed(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)).withColumn(part, F.spark_partition_id())
+    inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy(part, *keys).agg(F.max(value).alias("__total"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("__before", F.max("__total").over(before)).where("__before is not null")
+    carried = carried.select("__before", *[F.col(c).alias(f"__c_{c}") for c in (part, *keys)])
+    local = placed.withColumn("__local", F.max(value).over(inside))
+    on = [local[c].eqNullSafe(carried[f"__c_{c}"]) for c in (part, *keys)]
+    out = local.join(F.broadcast(carried), on, "left").drop(*[f"__c_{c}" for c in (part, *keys)])
+    return out.withColumn(name, F.greatest("__local", "__before")).drop(part, "__local", "__before")

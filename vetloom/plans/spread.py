@@ -25,3 +25,15 @@ def met_by_size(rows: DataFrame, classes: DataFrame, key: str, limit: int) -> Da
     near = rows.join(F.broadcast(common), key)
     others = rows.join(F.broadcast(common.select(key)), key, "left_anti")
     return near.unionByName(others.join(classes.where(F.col("size") <= limit), key))
+
+
+def looked_up(rows: DataFrame, unique: DataFrame, keys: list[str], share: int = 2_000) -> DataFrame:
+    """``rows`` left-joined with the one row that ``unique`` has per ``keys``; null keys meet each other.
+
+    Rows that ask for the same key are counted first: a key of more than one row in ``share`` is met by broadcast.
+    """
+    asked = rows.withColumn("__key", F.struct(*keys))
+    held = unique.withColumn("__key", F.struct(*keys)).drop(*keys)
+    classes = asked.groupBy("__key").agg(F.count(F.lit(1)).alias("size")).join(held, "__key", "left")
+    total = asked.count()
+    return met_by_size(asked, classes, "__key", max(1, total // share)).drop("__key", "size")

@@ -180,7 +180,7 @@ _CELLS = {
     "D": """case when l_partkey % 97 = 0 then '#N/A' when l_partkey % 4 = 0 then '' when l_partkey % 4 = 1 then 'note'
         when l_partkey % 4 = 2 then 'TRUE' else cast(cast(l_tax * 100 as int) as string) end""",
     "E": """'=$E$' || cast(case when l_orderkey % 20 = 0 then greatest(1, 8 - row_no) else row_no + 1 end as string)
-        || '+SUM(B1:B3)*Data!a' || cast(row_no as string)""",
+        || '+SUM(B1:B3)*Data!a' || cast(row_no as string) || '+A41+RATE1*LOG10(C2)+"D4"'""",
 }
 # The write that counts, of several for one item: the last one, by all columns.
 _WRITE = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
