@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vetloom.catalog.predicates import PAIRS, turn_pairs
 from vetloom.catalog.registry import SQL_VIEWS, query
-from vetloom.catalog.review import q
+from vetloom.catalog.review import bare, q, sql_list
 from vetloom.catalog.sqltext import tenure_case
 from vetloom.functions import patterns as R
 from vetloom.functions import text as X
@@ -25,12 +25,12 @@ def _(t):
 
 
 _LABEL = r"""lower(regexp_replace(regexp_replace(regexp_replace(trim(line), '^[•●*\-–—▪▫➢✓+>#|~]+\s*', ''), '^(?:\d{1,2}\.?|[A-Za-z]\.|\([A-Za-z0-9]+\))\s+', ''), '[:\s|~]+$', ''))"""
-_FIELD = "^(?:" + "|".join(R.CV_FIELDS.values()) + ")$"
-_SECTION = "case " + " ".join(f"when regexp_matches(label, '{q(f'^{p}$')}') then '{n}'" for n, p in R.CV_SECTIONS.items()) + " end"
+_FIELD = sql_list([f for labels in R.CV_FIELDS.values() for f in labels])
+_SECTION = "case " + " ".join(f"when list_contains({sql_list(h)}, {bare('label')}) then '{n}'" for n, h in R.CV_SECTIONS.items()) + " end"
 _CV_LINES = rf"""l as (select doc_id, generate_subscripts(ls, 1) as n, regexp_replace(unnest(ls), '\s+$', '') as line from (select doc_id, string_split(text, chr(10)) as ls from cvs_v) x),
     b as (select *, {_LABEL} as label from l),
     h as (select *, case when trim(line) <> '' and length(trim(line)) <= 75 and not regexp_matches(trim(line), '[.!?]$') and len(regexp_split_to_array(label, '\s+')) <= 6
-      and not regexp_matches(label, '{q(_FIELD)}') then {_SECTION} end as opens from b)"""
+      and not list_contains({_FIELD}, {bare('label')}) then {_SECTION} end as opens from b)"""
 
 
 @query("is_heading_line", f"with {_CV_LINES} select doc_id, n - 1 as line_no, opens from h")

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from vetloom.catalog.registry import SQL_VIEWS, query
-from vetloom.catalog.review import LEGACY, q, review_ctes, sql_cut, sql_each
+from vetloom.catalog.review import LEGACY, bare, q, review_ctes, sql_cut, sql_each, sql_list
 from vetloom.functions import patterns as R
 from vetloom.functions.phrases import literal
 from vetloom.operators import mentions as M
@@ -63,7 +63,9 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 def s_confidential(text: str) -> tuple[str, str]:
-    line = rf"""case when regexp_matches(l, '{q(R.CONFIDENTIAL_LINE)}') then chr(1) || 'H' || l when regexp_matches(l, '{q(R.SECTION_END_LINE)}') then chr(1) || 'E' || l else l end"""
+    begins = rf"starts_with(lower(ltrim(l)), h) and not regexp_matches(substr(lower(ltrim(l)), length(h) + 1, 1), '\w')"
+    ends = f"trim(l, ' ' || chr(9) || chr(13)) = '' or len(list_filter({sql_list(R.BRIEF_HEADINGS)}, lambda h: {begins})) > 0"
+    line = f"""case when list_contains({sql_list(R.CONFIDENTIAL_HEADINGS)}, regexp_replace({bare('l')}, 's$', '')) then chr(1) || 'H' || l when {ends} then chr(1) || 'E' || l else l end"""
     pieces = f"string_split('E' || array_to_string(list_transform(string_split(replace({text}, chr(1), ''), chr(10)), lambda l: {line}), chr(10)), chr(1))"
     found = f"list_transform(list_filter({pieces}, lambda p: p like 'H%'), lambda p: {_STRIP.format('substr(p, 2)')})"
     kept = f"array_to_string(list_transform(list_filter({pieces}, lambda p: p like 'E%'), lambda p: substr(p, 2)), '')"

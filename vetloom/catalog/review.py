@@ -33,7 +33,17 @@ def sql_each(text: str, pattern: str, change: str) -> str:
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _PAIRS = r"(?i)\b(?:" + "|".join(r"[ \t]*-[ \t]*".join(p.split("-")) for p in R.HYPHEN_PAIRS) + r")\b"
 _LAST = "list_last(string_split(acc, chr(10)))"
-_OPEN = rf"{_LAST} <> '' and not regexp_matches({_LAST}, '[.!?;:]$') and not regexp_matches({_LAST}, '{q(R.NUMBERED_ITEM)}') and not regexp_matches({_LAST}, '{q(R.KNOWN_HEADING)}')"
+
+
+def bare(line: str) -> str:
+    return rf"lower(regexp_replace(regexp_replace(trim({line}, ' ' || chr(9)), '\s*[:-]?\s*$', ''), '\s+', ' ', 'g'))"
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_OPEN = rf"{_LAST} <> '' and not regexp_matches({_LAST}, '[.!?;:]$') and not regexp_matches({_LAST}, '{q(R.NUMBERED_ITEM)}') and not list_contains({sql_list(R.BRIEF_HEADINGS)}, {bare(_LAST)})"
 _STATE = "{'keep': cast([] as varchar[]), 'last': '', 'apply': false}"
 _IS_APPLY = f"regexp_matches(l, '{q(R.APPLY_LINE)}')"
 _DROP = f"(l <> '' and (lower(l) = s.last or ({_IS_APPLY} and s.apply and length(l) < 200)))"
@@ -92,7 +102,7 @@ def _(t):
 
 _LINES = r"""lines as (select doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select doc_id, list_filter(list_transform(string_split(text, chr(10)),
     lambda r: regexp_replace(r, '^\s+|\s+$', '', 'g')), lambda l: l <> '') as ls from {}) x)"""
-_TITLE = "case " + " ".join(f"when regexp_matches(line, '{q(p)}') then '{q(n)}'" for p, n in R.BRIEF_HEADINGS) + " end"
+_TITLE = "case " + " ".join(f"when list_contains({sql_list(h)}, {bare('line')}) then '{n}'" for n, h in R.BRIEF_SECTIONS.items()) + " end"
 
 
 @query(

@@ -1,13 +1,12 @@
-"""Patterns from plain wording.
-
-``phrase("[key] duties/tasks")`` matches the words in that order with any blanks between them: a word in brackets may be
-missing, words joined by slashes stand for each other, and an underscore inside a word is a blank.
-"""
+"""Patterns from plain word lists."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _SPECIAL = ".^$|()[]{}*+?\\"
 
 
@@ -16,30 +15,12 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in _SPECIAL else c for c in text)
 
 
-def any_of(choices: str | Iterable[str]) -> str:
-    """One of the choices (a string is split at blanks), longer ones first; blanks inside a choice match any blanks."""
-    words = choices.split() if isinstance(choices, str) else list(choices)
-    ordered = sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))
-    return "(?:" + "|".join(r"\s+".join(literal(part) for part in w.replace("_", " ").split(" ")) for w in ordered) + ")"
-
-
-def phrase(wording: str) -> str:
-    out, filled = "", False
-    for word in wording.split():
-        optional = word.startswith("[")
-        choice = any_of(word.strip("[]").split("/"))
-        if not filled:
-            out += rf"(?:{choice}\s+)?" if optional else choice
-        else:
-            out += rf"(?:\s+{choice})?" if optional else rf"\s+{choice}"
-        filled = filled or not optional
-    return out
-
-
-def phrases(wordings: Iterable[str]) -> str:
-    return "(?:" + "|".join(map(phrase, wordings)) + ")"
+def any_of(choices: Iterable[str]) -> str:
+    """One of the choices, longer ones first; blanks inside a choice match any blanks."""
+    ordered = sorted(dict.fromkeys(choices), key=lambda w: (-len(w), w))
+    return "(?:" + "|".join(r"\s+".join(literal(part) for part in w.split(" ")) for w in ordered) + ")"
 
 
-def whole_line(wordings: Iterable[str], end: str = r"\s*[:-]?\s*") -> str:
-    """A line of nothing but one of the wordings, in any letter case."""
-    return rf"(?i)^\s*{phrases(wordings)}{end}$"
+def bare_heading(line: Column) -> Column:
+    """A line as headings are listed: lower case, single blanks, without a colon or dash at its end."""
+    return F.lower(F.regexp_replace(F.regexp_replace(line, r"^\s+|\s*[:-]?\s*$", ""), r"\s+", " "))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetloom.functions import dates as D
 from vetloom.functions import patterns as R
 from vetloom.functions import text as X
+from vetloom.functions.phrases import bare_heading
 from vetloom.operators.review import MARK, sections_of
 
 
@@ -51,22 +54,24 @@ def heading_label(line: Column) -> Column:
     return F.lower(X.trim_all(F.regexp_replace(bare, r"[:\s|~]+$", "")))
 
 
-def heading_name(line: Column) -> Column:
+def _named(label: Column, names: dict[str, Sequence[str]]) -> Column:
+    """The first name that lists the label, or null."""
+    out = F.lit(None).cast("string")
+    for name, labels in reversed(names.items()):
+        out = F.when(label.isin(list(labels)), name).otherwise(out)
+    return out
+
+
+def heading_name(line: Column, headings: dict[str, Sequence[str]] = R.CV_SECTIONS, fields: dict[str, Sequence[str]] = R.CV_FIELDS) -> Column:
     """Section a line opens, or null. Long lines, sentences and field labels open none."""
     raw = X.trim_all(line)
 
     def named(label: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, pattern in reversed(R.CV_SECTIONS.items()):
-            out = F.when(F.regexp_like(label, F.lit(rf"^{pattern}$")), name).otherwise(out)
-        # one look for any section name first: most short lines open none
-        some = F.regexp_like(label, F.lit("^(?:" + "|".join(R.CV_SECTIONS.values()) + ")$"))
-        field = F.regexp_like(label, F.lit("^(?:" + "|".join(R.CV_FIELDS.values()) + ")$"))
-        plain = (label != "") & some & (F.size(F.split(label, r"\s+")) <= 6) & ~field
-        return F.when(plain, out)
+        field = label.isin([f for labels in fields.values() for f in labels])
+        return F.when(~field & (F.size(F.split(label, " ")) <= 6), _named(label, headings))
 
     usable = (raw != "") & (F.length(raw) <= 75) & ~F.regexp_like(raw, F.lit("[.!?]$"))
-    return F.when(usable, X.let(heading_label(line), named))
+    return F.when(usable, X.let(bare_heading(heading_label(line)), named))
 
 
 def segment_sections(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -76,30 +81,24 @@ def segment_sections(docs: DataFrame, key: str, column: str) -> DataFrame:
     return docs.select(key, F.posexplode_outer(parts).alias("part_no", "s")).select(key, "part_no", F.col("s.title").alias("section"), "s.lines")
 
 
-def labelled_fields(sections: DataFrame, key: str) -> DataFrame:
+def labelled_fields(sections: DataFrame, key: str, fields: dict[str, Sequence[str]] = R.CV_FIELDS) -> DataFrame:
     """First value per field from ``label: value``, ``label<tab>value`` or a label above its value."""
     source = sections.filter(F.col("section").isin("head", "personal"))
-    any_label = F.lit("^(?:" + "|".join(R.CV_FIELDS.values()) + ")$")
-
-    def bare(text: Column) -> Column:
-        return F.lower(F.regexp_replace(X.trim_all(text), r"[:\s]+$", ""))
+    any_label = [f for labels in fields.values() for f in labels]
 
     def read(line: Column, i: Column) -> Column:
         l = X.trim_all(line)
         shape = r"^([^:\t]{2,40})[:\t]\s*(.+)$"
         inline = X.trim_all(F.regexp_extract(l, shape, 2))
         after = X.trim_all(F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")))
-        below = F.when((after != "") & ~F.regexp_like(bare(after), any_label), after).otherwise("")
+        below = F.when((after != "") & ~bare_heading(after).isin(any_label), after).otherwise("")
         return F.struct(
-            F.when(inline != "", bare(F.regexp_extract(l, shape, 1))).otherwise(bare(l)).alias("label"),
+            F.when(inline != "", bare_heading(F.regexp_extract(l, shape, 1))).otherwise(bare_heading(l)).alias("label"),
             F.when(inline != "", inline).otherwise(below).alias("value"),
         )
 
     rows = source.select(key, "part_no", F.posexplode_outer(F.transform("lines", read)).alias("n", "r"))
-    field = F.lit(None).cast("string")
-    for name, pattern in reversed(R.CV_FIELDS.items()):
-        field = F.when(F.regexp_like(F.col("r.label"), F.lit(rf"^{pattern}$")), name).otherwise(field)
-    found = rows.withColumn("field", field).filter(F.col("field").isNotNull() & (F.col("r.value") != ""))
+    found = rows.withColumn("field", _named(F.col("r.label"), fields)).filter(F.col("field").isNotNull() & (F.col("r.value") != ""))
     first = found.groupBy(key, "field").agg(F.min_by("r.value", F.struct("part_no", "n")).alias("value"))
     clean = F.trim(F.regexp_replace("value", r"^[\s:–—-]+", ""))
     value = (
@@ -171,12 +170,8 @@ def rewrap(lines: Column) -> Column:
 
 
 def _sub_heading(line: Column) -> Column:
-    return (
-        F.when(F.regexp_like(line, F.lit(R.ACHIEVEMENT_LINE)), "achievements")
-        .when(F.regexp_like(line, F.lit(R.DUTY_LINE)), "responsibilities")
-        .when(F.regexp_like(line, F.lit(R.CONTEXT_LINE)), "context")
-        .when(F.regexp_like(line, F.lit(R.LEAVING_LINE)), "leaving")
-    )
+    listed = {"achievements": R.ACHIEVEMENT_HEADINGS, "responsibilities": R.DUTY_HEADINGS, "context": R.CONTEXT_HEADINGS}
+    return F.coalesce(_named(bare_heading(line), listed), F.when(F.regexp_like(line, F.lit(R.LEAVING_LINE)), "leaving"))
 
 
 def _may_head(line: Column) -> Column:

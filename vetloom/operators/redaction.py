@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vetloom.functions import patterns as R
 from vetloom.functions import text as X
-from vetloom.functions.phrases import literal
+from vetloom.functions.phrases import any_of, bare_heading, literal
 from vetloom.functions.text import let
 from vetloom.operators.mentions import CORPORATE_ENDINGS, apply_mentions, with_hits
 from vetloom.operators.review import MARK, cut, cut_matches, replace_each
@@ -100,28 +100,29 @@ def _simple(name: str, pattern: str, token: str, confidence: str, category: str)
     return Step(name, log, lambda text: F.regexp_replace(text, F.lit(X.regex(pattern)), F.lit(_quoted(token))))
 
 
-def _confidential_pieces(text: Column) -> Column:
+def _confidential_pieces(text: Column, headings: Sequence[str], after: Sequence[str]) -> Column:
     """The text in pieces that begin at a confidential heading (``H``) or at a line that ends such a section (``E``)."""
+    ending = X.regex(rf"(?i)^\s*$|^\s*{any_of(after)}\b")
 
     def tagged(line: Column) -> Column:
-        heading = F.regexp_like(line, F.lit(X.regex(R.CONFIDENTIAL_LINE)))
-        ends = F.regexp_like(line, F.lit(X.regex(R.SECTION_END_LINE)))
+        heading = F.regexp_replace(bare_heading(line), "s$", "").isin(list(headings))
+        ends = F.regexp_like(line, F.lit(ending))
         return F.when(heading, F.concat(F.lit(f"{MARK}H"), line)).when(ends, F.concat(F.lit(f"{MARK}E"), line)).otherwise(line)
 
     lines = F.transform(F.split(F.translate(text, MARK, ""), "\n"), tagged)
     return F.split(F.concat(F.lit("E"), F.array_join(lines, "\n")), MARK)
 
 
-def confidential_blocks(house: House) -> Step:
+def confidential_blocks(house: House, headings: Sequence[str] = R.CONFIDENTIAL_HEADINGS, after: Sequence[str] = R.BRIEF_HEADINGS) -> Step:
     """Internal notes of any length: from their heading up to a blank line, another known heading or the end of the text."""
 
     def log(text: Column) -> Column:
-        found = F.filter(_confidential_pieces(text), lambda p: p.startswith("H"))
+        found = F.filter(_confidential_pieces(text, headings, after), lambda p: p.startswith("H"))
         whole = F.transform(found, lambda p: X.trim_all(F.substr(p, F.lit(2))))
         return _entries(whole, "confidential_section", "[Internal section removed]", "high", "Confidential Notes")
 
     def apply(text: Column) -> Column:
-        kept = F.filter(_confidential_pieces(text), lambda p: p.startswith("E"))
+        kept = F.filter(_confidential_pieces(text, headings, after), lambda p: p.startswith("E"))
         return F.array_join(F.transform(kept, lambda p: F.substr(p, F.lit(2))), "")
 
     return Step("confidential_section", log, apply)
