@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vetloom.operators import projections, redaction
 
@@ -26,6 +26,101 @@ def _columns(out: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=list(names))
 
 
+#: Event time of a slice; a step holds the rows that a key has in one.
+SLICE_SECONDS = 86_400
+#: Waiting rows in one state value.
+VALUE_ROWS = 1_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key wait in slices of event time until the watermark has passed them; then they are folded in order.
+
+    State per key: ``rows`` maps (slice, part) to at most ``VALUE_ROWS`` waiting rows, ``slices`` the slices that have rows
+    to their number of parts, ``folded`` holds the state of the rule. A step reads the slices that are due, one at a time,
+    and drops them; a timer wakes the key for its next slice or for the end of its state.
+    """
+
+    def __init__(self, key: str, fields: Sequence[str], names: Sequence[str], start, fold, until, close):
+        self.key, self.fields, self.names = key, list(fields), list(names)
+        self.start, self.fold, self.until, self.close_key = start, fold, until, close
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "slice long, part long", "data binary")
+        self.slices = handle.getMapState("slices", "slice long", "parts long")
+        self.folded = handle.getValueState("folded", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[int, list[tuple]] = {}
+        for frame in rows:
+            if frame.empty:  # such frames have no columns
+                continue
+            for row in zip(frame["event_micros"].tolist(), *(frame[f].tolist() for f in self.fields)):
+                arrived.setdefault(row[0] // (SLICE_SECONDS * MICRO), []).append(row)
+        for number, new in arrived.items():
+            self._wait(number, new)
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _wait(self, number: int, rows: list[tuple]) -> None:
+        held = self.slices.getValue((number,))
+        parts = held[0] if held else 0
+        for at in range(0, len(rows), VALUE_ROWS):
+            self.rows.updateValue((number, parts), (pickle.dumps(rows[at : at + VALUE_ROWS]),))
+            parts += 1
+        self.slices.updateValue((number,), (parts,))
+
+    def _taken(self, number: int, parts: int) -> list[tuple]:
+        """The waiting rows of a slice in order, which leave the state."""
+        rows: list[tuple] = []
+        for part in range(parts):
+            rows += pickle.loads(self.rows.getValue((number, part))[0])
+            self.rows.removeKey((number, part))
+        self.slices.removeKey((number,))
+        return sorted(rows)
+
+    def _release(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        now, last = pickle.loads(self.folded.get()[0]) if self.folded.exists() else (self.start(), 0)
+        open_ = sorted((k[0], v[0]) for k, v in self.slices.iterator())
+        waiting: int | None = None
+        for number, parts in open_:
+            if number * SLICE_SECONDS * 1000 > mark:
+                waiting = number * SLICE_SECONDS * MICRO
+                break
+            rows = self._taken(number, parts)
+            ready = bisect.bisect_right([row[0] for row in rows], mark * 1000)
+            out: list[tuple] = []
+            for row in rows[:ready]:
+                if now is not None:
+                    now, more = self.fold(key, now, row[0], row[1:])
+                    out += more
+                    last = row[0]
+            if out:
+                yield _columns(out, self.names)
+            if ready < len(rows):
+                self._wait(number, rows[ready:])
+                waiting = rows[ready][0]
+                break
+        end = None if now is None else self.until(now, last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting is None and (now is None or (end is not None and end <= mark * 1000)):
+            if self.close_key is not None and now is not None:
+                yield _columns(self.close_key(key, now), self.names)
+            self.folded.clear()
+            return
+        self.folded.update((pickle.dumps((now, last)),))
+        due = waiting if waiting is not None else end
+        if due is not None:
+            self.handle.registerTimer(max(mark + 1, -(-due // 1000)))
+
+
 def in_order(
     df: DataFrame, key: str, ts: str, fields: Sequence[str], output: str, start: Callable[[], object],
     fold: Callable[[tuple, object, int, tuple], tuple[object, list[tuple]]], until: Callable[[object, int], int | None],
@@ -38,38 +133,14 @@ def in_order(
     the watermark are refused. ``fold(key, state, micros, row)`` gives the next state and the rows to emit; a state of
     None ends the key. ``until(state, micros of the last row)`` says from when on the state no longer matters; at that
     event time it is dropped, after ``close(key, state)`` has given the last rows. None keeps it.
-    Rows that ``only`` refuses move the clock and nothing else.
+    Rows that ``only`` refuses move the clock and nothing else. The state is of many small values, kept by RocksDB, which
+    the session is set to; a step holds one slice of a key.
     """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     names = [part.split()[0] for part in output.split(",")]
-    timed = df.withWatermark(ts, lateness).filter(F.lit(True) if only is None else only).select(key, ts, F.unix_micros(ts).alias("__us"), *fields)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, now, last = pickle.loads(state.get[0]) if state.exists else ([], start(), 0)
-        for batch in batches:
-            waiting += zip(batch["__us"].tolist(), *(batch[f].tolist() for f in fields))
-        waiting.sort()
-        mark = state.getCurrentWatermarkMs()
-        ready = bisect.bisect_right([row[0] for row in waiting], mark * 1000)
-        out: list[tuple] = []
-        for row in waiting[:ready]:
-            if now is not None:
-                now, more = fold(k, now, row[0], row[1:])
-                out += more
-                last = row[0]
-        waiting = waiting[ready:]
-        end = None if now is None else until(now, last)
-        if not waiting and (now is None or (end is not None and end <= mark * 1000)):
-            out += close(k, now) if close is not None and now is not None else []
-            state.remove()
-        else:
-            state.update((pickle.dumps((waiting, now, last)),))
-            due = waiting[0][0] if waiting else end
-            if due is not None:
-                state.setTimeoutTimestamp(max(mark + 1, -(-due // 1000) - 1))
-        if out:
-            yield _columns(out, names)
-
-    return timed.groupBy(key).applyInPandasWithState(step, output, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = df.withWatermark(ts, lateness).filter(F.lit(True) if only is None else only).select(key, ts, F.unix_micros(ts).alias("event_micros"), *fields)  # no leading underscore: workers rename such fields
+    processor = InOrder(key, fields, names, start, fold, until, close)
+    return timed.groupBy(key).transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
 def _take_save(revision: int, us: int, save: tuple) -> bool:
