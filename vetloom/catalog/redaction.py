@@ -274,6 +274,16 @@ def _(t):
 
 # ---- the pipeline ------------------------------------------------------------------------------------
 
+def all_names(source: str) -> list[str]:
+    """The CTEs of the name step over ``source``; the last one is ``nm``."""
+    return [
+        f"nk as materialized (select {source}.*, {_KNOWN} as k, {_DECLARED} as d, {_UNKNOWN} as u from {source}, pat)",
+        f"nd as materialized (select * exclude (k, d), {_NEW.format('k', 'd', _SAME)} as kd from nk)",
+        f"na as materialized (select doc_id, text, log, {_NEW.format('kd', 'u', _INSIDE)} as found from nd)",
+        name_ctes("na", "na.found", "nm").replace("na.*", "na.doc_id, na.text, na.log"),
+    ]
+
+
 def pipeline_ctes() -> str:
     ctes, last = [_PATTERN, "p0 as (select doc_id, text, cast([] as varchar[]) as log from texts_v)"], "p0"
 
@@ -287,10 +297,7 @@ def pipeline_ctes() -> str:
     order = list(SQL_STEPS)
     for name in order[:5]:
         add(name)
-    ctes.append(f"nk as materialized (select {last}.*, {_KNOWN} as k, {_DECLARED} as d, {_UNKNOWN} as u from {last}, pat)")
-    ctes.append(f"nd as materialized (select * exclude (k, d), {_NEW.format('k', 'd', _SAME)} as kd from nk)")
-    ctes.append(f"na as materialized (select doc_id, text, log, {_NEW.format('kd', 'u', _INSIDE)} as found from nd)")
-    ctes.append(name_ctes("na", "na.found", "nm").replace("na.*", "na.doc_id, na.text, na.log"))
+    ctes += all_names(last)
     last = "nm"
     for name in order[5:12]:
         add(name)

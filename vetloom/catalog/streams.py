@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vetloom.catalog.redaction import HOUSE, SQL_STEPS, _collapsed
+from vetloom.catalog.redaction import _PATTERN, HOUSE, SQL_STEPS, _collapsed, all_names
 from vetloom.catalog.registry import QUERIES, query
 from vetloom.session import checkpoint_dir
 from vetloom.sources.tables import SCHEMAS
@@ -135,8 +135,11 @@ def _(t):
 
 
 def _sanitise_sql() -> str:
-    ctes, last = ["p0 as (select doc_id, text, cast([] as varchar[]) as log from documents)"], "p0"
+    ctes, last = [_PATTERN, "p0 as (select doc_id, text, cast([] as varchar[]) as log from documents)"], "p0"
     for n, name in enumerate(list(SQL_STEPS)[:12], 1):
+        if n == 6:
+            ctes += all_names(last)
+            last = "nm"
         entries, changed = SQL_STEPS[name][1]("text")
         ctes.append(f"p{n} as materialized (select doc_id, {changed} as text, list_concat(log, {entries}) as log from {last})")
         last = f"p{n}"
@@ -147,4 +150,4 @@ def _sanitise_sql() -> str:
 def _(t):
     from vetloom.catalog.redaction import shown
 
-    return shown(drained(t, Z.stream_sanitise(live(t, "documents").select("doc_id", "text"), "text", HOUSE)))
+    return shown(drained(t, Z.stream_sanitise(live(t, "documents").select("doc_id", "text"), "doc_id", "text", t.names_v, HOUSE)))

@@ -153,6 +153,11 @@ def _bounded(names: DataFrame, limit: int) -> list[tuple[str, str]] | None:
     return [(r["name"], r["descriptor"]) for r in names.where("name is not null").select("name", F.coalesce("descriptor", F.lit("")).alias("descriptor")).collect()]
 
 
+def is_bounded(names: DataFrame, limit: int = DICTIONARY_BYTES) -> bool:
+    """Whether a dictionary travels to the texts."""
+    return _bounded(names, limit) is not None
+
+
 def with_hits(docs: DataFrame, key: str, text: str, names: DataFrame, endings: Sequence[str] = CORPORATE_ENDINGS, limit: int = DICTIONARY_BYTES) -> DataFrame:
     """``docs`` with ``__hits``: whole-word mentions of dictionary names ``name, descriptor`` from left to right.
 

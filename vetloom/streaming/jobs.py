@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vetloom.operators import projections, redaction
+from vetloom.operators import mentions, projections, redaction
 
 MICRO = 1_000_000
 
@@ -311,11 +311,19 @@ def notify_retry_batch(outcomes: DataFrame, key: str, ts: str, event_id: str, ou
     return live.groupBy(F.col(key).alias("result_id")).agg(status.alias("status"), F.max("__failures").alias("tries"))
 
 
-def stream_sanitise(docs: DataFrame, column: str, house: redaction.House, known_roots: Sequence[str] = ()) -> DataFrame:
-    """The redaction steps on arriving documents: text and log, no state."""
+def stream_sanitise(docs: DataFrame, key: str, column: str, names: DataFrame, house: redaction.House, known_roots: Sequence[str] = ()) -> DataFrame:
+    """The redaction steps on arriving documents, names included: text and log, no state.
+
+    ``names`` is a static table of a size that travels to the documents (``mentions.DICTIONARY_BYTES``); a larger one is an error.
+    """
+    if not mentions.is_bounded(names):
+        raise ValueError("the dictionary is too large for a stream; redact its documents in batches")
     before, after = redaction.standard_steps(house, known_roots)
     out = docs.withColumn("log", F.array().cast(redaction.LOG_TYPE))
-    for step in [*before, *after]:
+    for step in before:
+        out = redaction.run_step(out, column, step)
+    out = redaction.redact_names(out, key, column, names, house)
+    for step in after:
         out = redaction.run_step(out, column, step)
     return out.withColumn(column, redaction.collapse_tokens(F.col(column), house))
 
