@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -219,6 +220,48 @@ def test_guess_bits_find_the_cheapest_segmentation():
     assert bits("a" * 5_000) < 25 and bits("p@ssword") < 5
 
 
+def brute_bits(text, ranks):
+    """The cheapest of all segmentations, each segment priced from its text alone."""
+    n, keys = len(text), text.lower().translate(secret_scan.SHIFTED)
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        dates = secret_scan._date_ends(text, i) if text[i].isdigit() else []
+        for j in range(i + 1, n + 1):
+            part = text[i:j]
+            prices = [sum(map(secret_scan._char_bits, part)), *(b for e, b in dates if e == j)]
+            if len(part) > 1 and (word := secret_scan._word_bits(part, ranks)) is not None:
+                prices.append(word)
+            if len(part) > 2 and all(keys[k] in secret_scan.NEAR_KEYS.get(keys[k - 1], ()) for k in range(i + 1, j)):
+                prices.append(math.log2(47 * 6) + len(part) - 2 + 2 * sum(keys[k - 2] == keys[k] for k in range(i + 2, j)))
+            for size in range(1, min(8, len(part) // 2) + 1):
+                unit, times = part[:size], len(part) // size
+                if len(part) > 2 and part == unit * times:
+                    prices.append(min(sum(map(secret_scan._char_bits, unit)), secret_scan._word_bits(unit, ranks) or math.inf) + math.log2(times))
+            best[j] = min(best[j], best[i] + (i > 0) + min(prices))
+    return best[n]
+
+
+def test_guess_bits_equal_the_minimum_over_all_segmentations():
+    ranks = {"hunter": 5, "dragon": 9, "horse": 20, "abc": 3, "ab": 7}
+    rng = random.Random(3)
+    parts = "a b ab asdf qwerty 12 03-12-89 1999 hunter 99 - x aaa abab 010203 A".split()
+    texts = ["asdfghunter", "x9asdfghunter7", "aaadragonqwertyhorse", ""] + ["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(800)]
+    for text in texts:
+        assert math.isclose(secret_scan.guess_bits(text, ranks), brute_bits(text, ranks)), text
+    assert secret_scan.guess_bits("x9asdfghunter7", ranks) < 35 and secret_scan.guess_bits("03-12-89", {}) < 20
+
+
+def test_values_in_wider_credential_places():
+    value = "x9Kq2wvLp8zQ4"
+    found = lambda text: [text[a:b] for k, a, b in secret_scan.spans(text, {"understanding": 900}, 35)[1] if k == "guess"]
+    for form in ("Authorization: Bearer {}", "redis://:{}@host", "pwd  =   {}", '{{"Authorization": "Basic {}"}}', "curl -H 'bearer {}'", "passcode => '{}'"):
+        assert found(form.format(value)) == [value], form
+    assert found("a basic understanding") == found("the bearer has a token") == []
+    text = "secret: abcdef12 " * 20_000 + f"pwd = {value}"
+    base, spans = secret_scan.spans(text, {}, 35)
+    assert len(base) == 20_000 and len(spans) == 20_001
+
+
 def test_secrets_of_an_empty_table(no_docs):
     assert secret_scan.scan(no_docs, RANK_FILE).count() == 0
 

@@ -1,20 +1,25 @@
 """Secret scans: fixed forms, and credential values whose cheapest guess is expensive.
 
 Three forms are found anywhere: assignments to password-like names, access ids and long hex strings. A value that stands
-in a credential's place (behind a wider list of names, quoted or not, or as the password of a URL) is judged by dynamic
+in a credential's place (behind a wider list of names and any blanks, quoted or not, with or without the name of an
+authorization scheme, behind such a name alone, or as the password of a URL, with or without a user) is judged by dynamic
 programming over its code points: the cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and
 brute-force spans gives the bits of guessing it takes. From ``bits`` on the value is a span of kind ``guess``, unless it
 lies inside a span of a fixed form.
 
-A null or empty text has no spans. Whole texts are scanned; the time is linear in a value's length.
+A null or empty text has no spans, an empty table no rows; repeated rows get equal results, and a null id stays null. Only
+the id and the text are read, so columns of any other name do no harm. Whole texts are scanned, in time linear in the text
+but for the sorting of its spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import date
+from itertools import accumulate
 from math import comb, log2
 
 import pyarrow as pa
@@ -40,11 +45,15 @@ WIDER = "|".join(
     [NAMES, *map(_any_case, ("passphrase", "passcode", "pwd", "credential", "authorization", "bearer"))]
     + [_any_case(a) + "[ _-]?" + _any_case("key") for a in ("access", "private", "client", "api")]
 )
-VALUE = re.compile(rf"""(?:{WIDER})["']?\s?(?::=|=>|[:=])\s?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""")
-URL_PASSWORD = re.compile(r"://[^\s/:@]+:([^\s/@]+)@")
+SCHEMES = "|".join(map(_any_case, ("bearer", "basic", "token")))
+NAMED = rf"(?:(?:{SCHEMES})[ \t]+)?"
+SIGN = r"\s?[ \t]*(?::=|=>|[:=])\s?[ \t]*"
+VALUE = re.compile(rf"""(?:{WIDER})["']?{SIGN}(?:"{NAMED}([^"\n]+)"|'{NAMED}([^'\n]+)'|{NAMED}([^\s"'<>,;]+))""")
+SCHEME_VALUE = re.compile(rf"\b(?:{SCHEMES})[ \t]+([A-Za-z0-9+/_.~=-]+)")
+URL_PASSWORD = re.compile(r"://[^\s/:@]*:([^\s/@]+)@")
 
 #: A text without any of these has no span of that sort; bytes in lower case.
-HINTS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"token", b"credential", b"authorization", b"bearer", b"key", b"akia")
+HINTS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"token", b"credential", b"authorization", b"bearer", b"basic", b"key", b"akia")
 #: Hex digits as ``h``, every other byte as a space.
 HEX_BYTES = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 LONG_HEX = b"h" * LEAST["hex"]
@@ -101,67 +110,108 @@ def _word_bits(text: str, ranks: dict[str, int]) -> float | None:
     return log2(rank + 1) + case + sum(a != b for a, b in zip(lower, plain))
 
 
-def _is_date(day: int, month: int, year: int) -> bool:
-    try:
-        date(year, month, day)
+YEAR = re.compile(r"(?:19|20)[0-9]{2}")
+#: Dates with the year first or last, of four or of two digits; the separator is the same in both places, or there is none.
+DATES = tuple(
+    (re.compile(form.replace("Y", f"([0-9]{{{digits}}})")), bits)
+    for digits, bits in ((4, log2(365 * 200)), (2, log2(365 * 100)))
+    for form in (r"Y([-/._]?)([0-9]{1,2})\2([0-9]{1,2})", r"([0-9]{1,2})([-/._]?)([0-9]{1,2})\2Y")
+)
+
+
+def _is_date(day: str, month: str, year: str) -> bool:
+    if len(year) not in (2, 4):
+        return False
+    try:  # the year 2000 was a leap year, so a two-digit year of either century is covered
+        return 1900 <= date(int(year) + (2000 if len(year) == 2 else 0), int(month), int(day)).year < 2100
     except ValueError:
         return False
-    return 1900 <= year < 2100
 
 
 def _date_ends(text: str, at: int) -> list[tuple[int, float]]:
     """Ends of dates that start at ``at``, with their bits."""
     ends = []
-    if (m := re.compile(r"(19|20)[0-9]{2}").match(text, at)) is not None:
+    if (m := YEAR.match(text, at)) is not None:
         ends.append((m.end(), log2(200)))
-    for form in (r"([0-9]{4})([-/._]?)([0-9]{1,2})\2([0-9]{1,2})", r"([0-9]{1,2})([-/._]?)([0-9]{1,2})\2([0-9]{4})"):
-        if (m := re.compile(form).match(text, at)) is not None:
-            a, b, c = int(m[1]), int(m[3]), int(m[4])
+    for form, bits in DATES:
+        if (m := form.match(text, at)) is not None:
+            a, b, c = m[1], m[3], m[4]
             if any(_is_date(*x) for x in ((c, b, a), (b, c, a), (a, b, c), (b, a, c))):
-                ends.append((m.end(), log2(365 * 200) + (2 if m[2] else 0)))
+                ends.append((m.end(), bits + (2 if m[2] else 0)))
     return ends
 
 
+WALK_BITS = log2(47) + log2(6)
+
+
+class _Repeats:
+    """Cheapest covers that end with a unit of ``size`` code points written twice or more.
+
+    Starts of one residue inside one periodic stretch write the same unit, so they compete by the cost of what lies before
+    them and by the logarithm of the times. Another repetition adds less to the longer of two repeats, so a start that an
+    earlier one has beaten stays beaten and leaves.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.run = size, 0
+        self.starts: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+
+    def cheapest(self, text: str, end: int, best: list[float], ranks: dict[str, int]) -> float:
+        size = self.size
+        if end <= size or text[end - 1] != text[end - 1 - size]:
+            if self.run:
+                self.run = 0
+                self.starts = [[] for _ in range(size)]
+            return float("inf")
+        self.run += 1
+        if self.run < size:
+            return float("inf")
+        start = end - 2 * size
+        part = text[start : start + size]
+        unit = min(sum(map(_char_bits, part)), _word_bits(part, ranks) or float("inf"))
+        waiting = self.starts[end % size]
+        waiting.append((start, best[start] + (1 if start else 0) + unit))
+        cheapest, left = float("inf"), []
+        for start, cost in waiting:
+            times = (end - start) // size
+            if cost + log2(times) < cheapest:
+                left.append((start, cost))
+                if times * size >= 3:
+                    cheapest = cost + log2(times)
+        self.starts[end % size] = left
+        return cheapest
+
+
 def guess_bits(text: str, ranks: dict[str, int]) -> float:
-    """Bits of the cheapest segmentation of ``text``; each further segment costs one bit."""
+    """Bits of the cheapest segmentation of ``text``; each further segment costs one bit.
+
+    Words, dates, every part of a keyboard walk of three keys or more, every part of a repeat and brute-force spans may be
+    segments; words have at most ``LONGEST_WORD`` code points and repeated units ``LONGEST_UNIT``.
+    """
     n = len(text)
     keys = text.lower().translate(SHIFTED)
-    best = [float("inf")] * (n + 1)  # cheapest cover that ends here
-    brute = [float("inf")] * (n + 1)  # and whose last segment is a brute-force span
+    never = float("inf")
+    best = [never] * (n + 1)  # cheapest cover that ends here
     best[0] = 0.0
-    walk_end = 0
-    unit_end = [0] * (LONGEST_UNIT + 1)
+    brute = never  # cheapest cover that ends here with a brute-force span
+    two = three = never  # the same with a walk of two keys, and of three or more
+    repeats = [_Repeats(size) for size in range(1, LONGEST_UNIT + 1)]
     for i in range(n):
         here = best[i] + (1 if i else 0)
-        step = _char_bits(text[i])
-        brute[i + 1] = min(brute[i], here) + step
-        best[i + 1] = min(best[i + 1], brute[i + 1])
-        for j in range(i + 1, min(n, i + LONGEST_WORD) + 1):
-            if j - i > 1 and (bits := _word_bits(text[i:j], ranks)) is not None:
+        for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
+            if (bits := _word_bits(text[i:j], ranks)) is not None:
                 best[j] = min(best[j], here + bits)
         if text[i].isdigit():
             for j, bits in _date_ends(text, i):
                 best[j] = min(best[j], here + bits)
-        if i >= walk_end:  # a walk is taken whole, from its first key
-            walk_end, turns = i + 1, 0
-            while walk_end < n and keys[walk_end] in NEAR_KEYS.get(keys[walk_end - 1], ()):
-                turns += walk_end - i >= 2 and keys[walk_end - 2] == keys[walk_end]
-                walk_end += 1
-            if walk_end - i >= 3:
-                best[walk_end] = min(best[walk_end], here + log2(47) + log2(6) + (walk_end - i - 2) + 2 * turns)
-        for unit in range(1, LONGEST_UNIT + 1):
-            if i < unit_end[unit]:
-                continue
-            j = i + unit
-            while j < n and text[j] == text[j - unit]:
-                j += 1
-            times = (j - i) // unit
-            unit_end[unit] = max(i + 1, j - unit + 1)
-            if times >= 2 and times * unit >= 3:
-                part = text[i : i + unit]
-                bits = min(sum(map(_char_bits, part)), _word_bits(part, ranks) or float("inf"))
-                end = i + times * unit
-                best[end] = min(best[end], here + bits + log2(times))
+        end = i + 1
+        brute = min(brute, here) + _char_bits(text[i])
+        if i and keys[i] in NEAR_KEYS.get(keys[i - 1], ()):
+            turn = 2 * (i >= 2 and keys[i - 2] == keys[i])
+            two, three = best[i - 1] + (1 if i > 1 else 0) + WALK_BITS, min(two, three) + 1 + turn
+        else:
+            two = three = never
+        best[end] = min(best[end], brute, three, *(r.cheapest(text, end, best, ranks) for r in repeats))
     return best[n]
 
 
@@ -172,11 +222,14 @@ def spans(text: str, ranks: dict[str, int], bits: float) -> tuple[list[tuple[str
         base += [(kind, *m.span()) for m in form.finditer(text) if m.end() - m.start() >= LEAST[kind]]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base.sort(key=order)
+    starts = [s for _, s, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))  # a span that starts no later reaches this far
     more = set()
-    for form in (VALUE, URL_PASSWORD):
+    for form in (VALUE, SCHEME_VALUE, URL_PASSWORD):
         for m in form.finditer(text):
             a, b = m.span(m.lastindex)
-            if not any(s <= a and b <= e for _, s, e in base) and guess_bits(text[a:b], ranks) >= bits:
+            before = bisect_right(starts, a)
+            if (not before or furthest[before - 1] < b) and ("guess", a, b) not in more and guess_bits(text[a:b], ranks) >= bits:
                 more.add(("guess", a, b))
     return base, sorted([*base, *more], key=order)
 
