@@ -116,10 +116,10 @@ def brute_removed(rows, least=20):
     places = {}
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(line) >= least and line.strip(" "):
+            if line.strip(" "):
                 places.setdefault(line, (doc, text, at))
     order = {line: k for k, line in enumerate(sorted(places, key=lambda x: (places[x][0] is None, places[x][0] or 0, places[x][2])))}
-    near = {x for x, y in itertools.permutations(places, 2) if order[y] < order[x] and one_edit(x, y)}
+    near = {x for x, y in itertools.permutations(places, 2) if order[y] < order[x] and min(len(x), len(y)) >= least and one_edit(x, y)}
     out = []
     for doc, text in rows:
         lines = text.split("\n") if text is not None else []
@@ -137,7 +137,7 @@ def near_lines():
         for _ in range(4):
             i = rng.randrange(len(line))
             lines.append(rng.choice((line[:i] + line[i + 1 :], line[:i] + "q" + line[i:], line[:i] + "q" + line[i + 1 :], line[:i] + "qq" + line[i:])))
-    lines += ["aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "short", "short", " " * 25, " " * 25, "", "\t" * 30, "\t" * 30]
+    lines += ["aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "short", "short", "shorter", "}", "}", "}", "a" * 19 + "b", "a" * 18 + "b", " " * 25, " " * 25, "", "\t" * 30, "\t" * 30]
     rng.shuffle(lines)
     return [(d, "\n".join(lines[d * 4 : d * 4 + 4])) for d in range(len(lines) // 4 + 1)]
 

@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line of ``min_chars`` code points or more that isn't blank goes if an earlier line of the corpus, by document id and
-line number, equals it or is one edit away (a code point replaced, put in or taken out); shorter and blank lines stay.
+A line that isn't blank goes if an earlier line of the corpus, by document id and line number, equals it, or if both have
+``edit_chars`` code points or more and are one edit apart (a code point replaced, put in or taken out). In shorter lines a
+single edit makes another word or number, so only equality counts there. Blank lines stay.
 
 1. Equal lines become one row per line, with its first place.
-2. One edit leaves either the first or the second half of a line as it was, so a line can only have a partner if another
+2. For lines of ``edit_chars`` code points or more: one edit leaves either the first or the second half of a line as it was, so a line can only have a partner if another
    line has an equal half (halves by its own length and by one less). The other lines leave here, whatever the data.
 3. The rest emit their deletion neighbourhood: a key for every text with one code point taken out, and one for the line
    itself. A key is an exclusive-or of hashes of code points with their places, so the keys of a line come from running
@@ -15,7 +16,8 @@ line number, equals it or is one edit away (a code point replaced, put in or tak
 5. The places of the lines that stay are gathered per document, as one byte per line.
 
 A null text has no lines, an empty text one empty line. A null id comes after all others. Rows of one id and one text
-have equal places and keep the same lines; rows of one id and different texts are ordered by a hash of the text.
+have equal places and keep the same lines; rows of one id and different texts are ordered by a hash of the text. An empty
+table gives an empty one. Only the id and the text are read, and other columns keep their names and values.
 """
 
 from __future__ import annotations
@@ -38,13 +40,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _eligible(line: Column, min_chars: int) -> Column:
-    return (F.length(line) >= min_chars) & (F.length(F.trim(line)) > 0)
+def _eligible(line: Column) -> Column:
+    return F.length(F.trim(line)) > 0
 
 
-def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
+def _lines(rows: DataFrame) -> DataFrame:
     exploded = rows.select(*ROW, F.posexplode_outer("lines").alias("at", "line"))
-    return exploded.where(_eligible(F.col("line"), min_chars)).withColumn("h1", F.xxhash64("line"))
+    return exploded.where(_eligible(F.col("line"))).withColumn("h1", F.xxhash64("line"))
 
 
 def _half_keys(line: Column) -> Column:
@@ -57,11 +59,10 @@ def _half_keys(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per different line: hashes, first place, keys of its halves."""
-    described = lines.select(
-        "h1", F.xxhash64(F.lit(2), "line").alias("h2"), F.struct(*ROW, "at", _half_keys(F.col("line")).alias("halves")).alias("first")
-    )
+def _distinct(lines: DataFrame, edit_chars: int) -> DataFrame:
+    """One row per different line: hashes, first place, keys of its halves (null for a line too short for edits)."""
+    halves = F.when(F.length("line") >= edit_chars, _half_keys(F.col("line")))
+    described = lines.select("h1", F.xxhash64(F.lit(2), "line").alias("h2"), F.struct(*ROW, "at", halves.alias("halves")).alias("first"))
     return described.groupBy("h1", "h2").agg(F.min("first").alias("first")).select("h1", "h2", "first.*")
 
 
@@ -125,12 +126,12 @@ def _near(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     return close.select("h1", "h2").distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = 20) -> DataFrame:
     """``none, id, version, flags`` of the documents that keep an eligible line: byte ``1`` at the places of those lines."""
-    lines = _lines(_rows(docs, id_col, text_col), min_chars)
-    distinct = cut(_distinct(lines))
+    lines = _lines(_rows(docs, id_col, text_col))
+    distinct = cut(_distinct(lines, edit_chars))
     candidates = cut(_candidates(distinct))
-    fetched = _may_hold(lines, candidates).select(*ROW, "at", "line")
+    fetched = _may_hold(lines.where(F.length("line") >= edit_chars), candidates).select(*ROW, "at", "line")
     texts = cut(_same_place(fetched, candidates).select("h1", "h2", "line"))
     stays = distinct.join(_near(candidates, texts), ["h1", "h2"], "left_anti")
     places = stays.groupBy(*ROW).agg(F.sort_array(F.collect_list("at")).alias("at"))
@@ -144,8 +145,8 @@ def _same_place(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("*").join(right, on)
 
 
-def _stays(line: Column, at: Column, min_chars: int) -> Column:
-    return ~_eligible(line, min_chars) | (F.coalesce(F.substr("flags", at + 1, F.lit(1)), F.lit(b"")) == F.lit(b"1"))
+def _stays(line: Column, at: Column) -> Column:
+    return ~_eligible(line) | (F.coalesce(F.substr("flags", at + 1, F.lit(1)), F.lit(b"")) == F.lit(b"1"))
 
 
 def _with_flags(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -154,24 +155,24 @@ def _with_flags(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(right, on, "left")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = 20) -> DataFrame:
     """Per document: its lines, how many go, and their numbers from 0 on, comma-joined."""
     rows = _rows(docs, id_col, text_col)
     light = rows.select(*ROW, F.size(F.coalesce("lines", F.array().cast("array<string>"))).alias("n_lines"), F.filter(
-        F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x, i: F.when(_eligible(x, min_chars), i)), lambda i: i.isNotNull()
+        F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x, i: F.when(_eligible(x), i)), lambda i: i.isNotNull()
     ).alias("eligible"))
-    judged = _with_flags(light, kept_lines(docs, id_col, text_col, min_chars))
+    judged = _with_flags(light, kept_lines(docs, id_col, text_col, edit_chars))
     gone = F.filter("eligible", lambda i: F.coalesce(F.substr("flags", i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"))
     out = judged.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), gone.alias("gone"))
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, size_col: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = 20, size_col: str | None = None) -> DataFrame:
     """``docs`` with every column as it is, but ``text_col`` without the lines that go; ``size_col`` gets the new length."""
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("body"))
     rows = whole.select("row", F.col("key").isNull().alias("none"), F.col("key").alias("id"), F.xxhash64("body").alias("version"), "body")
-    judged = _with_flags(rows, kept_lines(docs, id_col, text_col, min_chars))
-    left = F.filter(F.split("body", "\n", -1), lambda x, i: _stays(x, i, min_chars))
+    judged = _with_flags(rows, kept_lines(docs, id_col, text_col, edit_chars))
+    left = F.filter(F.split("body", "\n", -1), lambda x, i: _stays(x, i))
     text = F.when(F.col("body").isNotNull(), F.array_join(left, "\n"))
     made = judged.select("row", text.alias("text"))
     out = {text_col: F.col("text")} | ({size_col: F.length("text").cast(docs.schema[size_col].dataType)} if size_col else {})

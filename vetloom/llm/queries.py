@@ -126,10 +126,10 @@ from b
 
 LINES_SQL = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
-e as (select *, length(line) as n from l where length(line) >= 20 and trim(line) <> ''),
+e as (select *, length(line) as n from l where trim(line) <> ''),
 d as (select line, n, min((doc_id, line_no)) as place from e group by 1, 2),
 k as (select line, n, place, unnest([(m, 'first', left(line, m // 2)), (m, 'last', right(line, m - m // 2))]) as half
-  from (select *, unnest([n, n - 1]) as m from d)),
+  from (select *, unnest([n, n - 1]) as m from d where n >= 20)),
 pairs as (select distinct a.line, b.line as other from k a join k b on a.half = b.half and a.line <> b.line and b.place < a.place and abs(a.n - b.n) <= 1),
 near as (select distinct line from pairs where len(list_filter(range(0, greatest(length(line), length(other))), lambda i: left(line, i) = left(other, i) and (
     (length(line) = length(other) and substr(line, i + 2) = substr(other, i + 2)) or (length(line) + 1 = length(other) and substr(line, i + 1) = substr(other, i + 2))
