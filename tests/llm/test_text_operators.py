@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -287,6 +288,28 @@ def test_licences_by_held_out_accuracy_and_templates(spark, edge_docs, no_docs):
     assert licences.scan(no_docs, templates=templates).count() == 0
 
 
+def test_wrapped_and_embedded_notices(spark):
+    templates = licences.Templates()
+    rng = random.Random(2)
+    corpus = [[rng.choice("tions hean the of and work under version public general terms".split()) for _ in range(25)] for _ in range(300)]
+    model = licences.fit(spark, licences.training_rows(templates, corpus, 40, 6), templates)
+    for family in templates.families:
+        for notice in licences.TEMPLATES[family]:
+            for width in (30, 66):
+                lines = textwrap.wrap(notice, width)
+                text = "\n".join(["some code before it", " *", *(f" * {x}" for x in lines), " *", "and after it"])
+                found = [(first + at, f) for first, ls in licences.paragraphs(text.encode()) for at, f in licences.judge(ls, templates, model, 0.6)[1]]
+                assert any(f == family and 2 <= at < 2 + len(lines) for at, f in found), (family, width, found)
+    mit = licences.TEMPLATES["mit"][1]
+    long_line = " ".join(["hean tions"] * 400 + [mit] + ["tions hean"] * 400)
+    block = "\n".join(["hean tions"] * 30 + textwrap.wrap(mit, 40) + ["tions hean"] * 30)
+    docs = spark.createDataFrame([(1, long_line, "x"), (2, block, "x"), (3, "", "x"), (None, None, "x"), (1, long_line, "x")], "doc_id long, text string, spans string")
+    got = {r.doc_id: (r.n_paragraphs, r.n_confirmed, r.spans) for r in licences.scan(docs, templates=templates, model=model).collect()}
+    assert got == {1: (1, 1, "0:mit"), 2: (1, 1, "30:mit"), 3: (0, 0, ""), None: (0, 0, "")}
+    with pytest.raises(ValueError):
+        licences.Templates({"x": ["two words"]})
+
+
 # urls
 
 ENTRIES = [
