@@ -284,11 +284,16 @@ def train(
     """A model for the corpus ``docs``, from its templates and at most ``train_rows`` of its paragraphs under 4,000 code points.
 
     The paragraphs are those of the smallest hashes of id and text, so neither files nor partitions decide which they are.
+    They are counted first: only hashes below a bound that about twice ``train_rows`` of them meet are sorted and collected.
     """
     templates = templates or Templates()
     blocks = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n[\\x20\\x09-\\x0D]*\n")).alias("block"))
     fit_for = blocks.where((F.length("block") > 0) & (F.length("block") < 4_000))
-    some = fit_for.orderBy(F.xxhash64("id", "block"), "block").limit(train_rows).select("block").collect()
+    count = fit_for.count()
+    least = -(1 << 63)
+    bound = least + (1 << 64) * 2 * train_rows // count if count > 2 * train_rows else (1 << 63) - 1
+    low = fit_for.withColumn("hash", F.xxhash64("id", "block")).where(F.col("hash") <= F.lit(bound).cast("long"))
+    some = low.orderBy("hash", "block").limit(train_rows).select("block").collect()
     corpus = sorted(tokens(r["block"].encode()) for r in some)
     return fit(docs.sparkSession, training_rows(templates, corpus, per_template, seed), templates)
 
