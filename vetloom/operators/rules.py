@@ -156,13 +156,14 @@ def check_form_weights(points: DataFrame, form: str, section: str, expected: dic
 def check_workbook_cells(cells: DataFrame, sources: DataFrame, writable: Sequence[str], amount_refs: Sequence[str], key: str = "workbook_id") -> DataFrame:
     """Cell rules, then size rules per workbook. ``sources`` lists read-only ``(workbook_id, ref)``."""
     parts = split_cell_ref(F.col("ref"))
-    named = cells.withColumn("canon", canonical_cell_ref(F.col("ref")))
+    # Columns of their own, made once per cell: the rules below read them again and again.
+    named = cells.withColumns({"canon": canonical_cell_ref(F.col("ref")), "__sheet": F.lower(parts["sheet"]), "__valid": parts["row"].isNotNull()})
     marked = named.join(sources.select(key, F.col("ref").alias("canon")).distinct().withColumn("__source", F.lit(True)), [key, "canon"], "left")
     text = F.trim("text")
     signed = F.regexp_like(text, F.lit(r"^[-−‒–—]")) | F.regexp_like(text, F.lit(r"^\(.*\)\z"))
     rules = [
-        finding(F.col("ref"), "invalid cell", "error", parts["row"].isNull()),
-        finding(F.col("ref"), "read-only sheet", "error", parts["row"].isNotNull() & ~F.lower(parts["sheet"]).isin(list(writable))),
+        finding(F.col("ref"), "invalid cell", "error", ~F.col("__valid")),
+        finding(F.col("ref"), "read-only sheet", "error", F.col("__valid") & ~F.col("__sheet").isin(list(writable))),
         finding(F.col("ref"), "source cell", "error", F.coalesce("__source", F.lit(False))),
         finding(F.col("ref"), "too long", "error", F.length("text") > MAX_CELL_TEXT),
         finding(F.col("ref"), "signed amount", "error", F.col("canon").isin(list(amount_refs)) & signed),
