@@ -36,9 +36,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class InOrder(StatefulProcessor):
     """Rows of a key wait in slices of event time until the watermark has passed them; then they are folded in order.
 
-    State per key: ``rows`` maps (slice, part) to at most ``VALUE_ROWS`` waiting rows, ``slices`` the slices that have rows
-    to their number of parts, ``folded`` holds the state of the rule. A step reads the slices that are due, one at a time,
-    and drops them; a timer wakes the key for its next slice or for the end of its state.
+    State per key: ``folded`` holds the state of the rule and the waiting rows while they are at most ``VALUE_ROWS``, so that
+    a key of few rows is read and written in one go. Beyond that, ``rows`` maps (slice, part) to at most ``VALUE_ROWS``
+    waiting rows, ``slices`` the slices that have rows to their number of parts. A step reads the slices that are due, one
+    at a time, and drops them; a timer wakes the key for its next slice or for the end of its state.
     """
 
     def __init__(self, key: str, fields: Sequence[str], names: Sequence[str], start, fold, until, close):
@@ -52,18 +53,30 @@ class InOrder(StatefulProcessor):
         self.folded = handle.getValueState("folded", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list[tuple]] = {}
+        now, last, few, spilled = self._held()
         for frame in rows:
             if frame.empty:  # such frames have no columns
                 continue
-            for row in zip(frame["event_micros"].tolist(), *(frame[f].tolist() for f in self.fields)):
-                arrived.setdefault(row[0] // (SLICE_SECONDS * MICRO), []).append(row)
-        for number, new in arrived.items():
-            self._wait(number, new)
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+            few += zip(frame["event_micros"].tolist(), *(frame[f].tolist() for f in self.fields))
+        if len(few) > VALUE_ROWS:
+            for number, new in self._by_slice(few).items():
+                self._wait(number, new)
+            few, spilled = [], True
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), now, last, few, spilled)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), *self._held())
+
+    def _held(self) -> tuple:
+        """State of the rule, time of its last row, the few waiting rows, and whether others wait in slices."""
+        held = self.folded.get()
+        return (self.start(), 0, [], False) if held is None else pickle.loads(held[0])
+
+    def _by_slice(self, rows: list[tuple]) -> dict[int, list[tuple]]:
+        out: dict[int, list[tuple]] = {}
+        for row in rows:
+            out.setdefault(row[0] // (SLICE_SECONDS * MICRO), []).append(row)
+        return out
 
     def close(self) -> None:
         pass
@@ -77,36 +90,47 @@ class InOrder(StatefulProcessor):
         self.slices.updateValue((number,), (parts,))
 
     def _taken(self, number: int, parts: int) -> list[tuple]:
-        """The waiting rows of a slice in order, which leave the state."""
+        """The waiting rows of a slice, which leave the state."""
         rows: list[tuple] = []
         for part in range(parts):
             rows += pickle.loads(self.rows.getValue((number, part))[0])
             self.rows.removeKey((number, part))
         self.slices.removeKey((number,))
-        return sorted(rows)
+        return rows
 
-    def _release(self, key, mark: int) -> Iterator[pd.DataFrame]:
-        now, last = pickle.loads(self.folded.get()[0]) if self.folded.exists() else (self.start(), 0)
-        open_ = sorted((k[0], v[0]) for k, v in self.slices.iterator())
+    def _release(self, key, mark: int, now, last: int, few: list[tuple], spilled: bool) -> Iterator[pd.DataFrame]:
+        parts = {k[0]: v[0] for k, v in self.slices.iterator()} if spilled else {}
+        near = self._by_slice(few)
         waiting: int | None = None
-        for number, parts in open_:
+        out: list[tuple] = []
+        for number in sorted({*parts, *near}):
             if number * SLICE_SECONDS * 1000 > mark:
                 waiting = number * SLICE_SECONDS * MICRO
                 break
-            rows = self._taken(number, parts)
+            rows = near.pop(number, [])
+            if number in parts:
+                rows = rows + self._taken(number, parts.pop(number))
+            rows.sort()
             ready = bisect.bisect_right([row[0] for row in rows], mark * 1000)
-            out: list[tuple] = []
             for row in rows[:ready]:
                 if now is not None:
                     now, more = self.fold(key, now, row[0], row[1:])
                     out += more
                     last = row[0]
-            if out:
+            if len(out) >= VALUE_ROWS:
                 yield _columns(out, self.names)
+                out = []
             if ready < len(rows):
-                self._wait(number, rows[ready:])
+                near[number] = rows[ready:]
                 waiting = rows[ready][0]
                 break
+        if out:
+            yield _columns(out, self.names)
+        if sum(map(len, near.values())) > VALUE_ROWS:
+            for number, rows in near.items():
+                self._wait(number, rows)
+                parts[number] = 1
+            near = {}
         end = None if now is None else self.until(now, last)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -115,7 +139,7 @@ class InOrder(StatefulProcessor):
                 yield _columns(self.close_key(key, now), self.names)
             self.folded.clear()
             return
-        self.folded.update((pickle.dumps((now, last)),))
+        self.folded.update((pickle.dumps((now, last, [row for rows in near.values() for row in rows], bool(parts))),))
         due = waiting if waiting is not None else end
         if due is not None:
             self.handle.registerTimer(max(mark + 1, -(-due // 1000)))
