@@ -99,3 +99,24 @@ def test_fingerprints_ignore_order_and_tell_repeats(spark):
     frame = spark.createDataFrame(cells, "workbook_id int, col string, row_no int, text string").withColumn("sheet", F.lit("S"))
     prints = {r.workbook_id: (r.fingerprint, r.copies, r.first_workbook) for r in S.content_fingerprint(frame).collect()}
     assert prints[1][1:] == prints[2][1:] == (2, 1) and len({p[0] for p in prints.values()}) == 4
+
+
+def test_reference_edges_meet_once_per_cell_and_sheet(spark):
+    rng = random.Random(3)
+    texts = ["=A1+B2:C4", "=c4:B2+Data!$a$40", "=Other!J40:A39+a1", "=B2:B2*DATA!B2", "no formula", None, "=1+2", "= A1 : X9"]
+    rows = [(rng.choice((1, 2, None)), rng.choice(("Data", "data", "S", None)), rng.choice((1, 2, None)), rng.choice(("A", "b", None)), rng.choice(texts)) for _ in range(300)]
+    cells = spark.createDataFrame(rows, "workbook_id int, sheet string, row_no int, col string, text string").repartition(4)
+    boxes = {0: [("", 1, 1, 1, 1), ("", 2, 3, 2, 4)], 1: [("", 2, 3, 2, 4), ("data", 1, 1, 40, 40)], 2: [("other", 1, 10, 39, 40), ("", 1, 1, 1, 1)], 3: [("", 2, 2, 2, 2), ("data", 2, 2, 2, 2)], 7: [("", 1, 1, 1, 1)]}
+    want = set()
+    for w, sheet, r, c, t in rows:
+        for to, c1, c2, r1, r2 in boxes.get(texts.index(t), []):
+            own = None if sheet is None else sheet.lower()
+            for x in range(c1, c2 + 1):
+                for y in range(r1, r2 + 1):
+                    at = to or own
+                    want.add((w, None if None in (own, r, c) else f"{own}!{c.upper()}{r}", at and f"{at}!{chr(64 + x)}{y}"))
+    edges = B.cell_reference_edges(cells)
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    shuffles = [x for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert shuffles and all("to_ref" not in x for x in shuffles)  # references are expanded after the shuffle
