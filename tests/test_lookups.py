@@ -120,3 +120,30 @@ def test_reference_edges_meet_once_per_cell_and_sheet(spark):
     assert len(got) == len(set(got)) and set(got) == want
     shuffles = [x for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
     assert shuffles and all("to_ref" not in x for x in shuffles)  # references are expanded after the shuffle
+
+
+def test_cycles_keep_little_of_what_lies_on_none(spark):
+    import os
+
+    from vetloom.session import checkpoint_dir
+
+    def written():
+        top = checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(top) for f in files)
+
+    rng = random.Random(4)
+    rows = [(w, f"data!E{r}", f"data!{rng.choice('ABCD')}{rng.randint(1, 40)}") for w in range(3000) for r in range(1, 21)]
+    rings = [(w, f"data!E{r}", f"data!E{r % 7 + 1}") for w in range(0, 3000, 100) for r in range(1, 8)]
+    odd = [(None, "data!E1", "data!E1"), (5, None, "data!E1"), (5, "data!E1", None), (6, "data!E2", "data!E2"), (6, "data!E2", "data!E2"), (7, "data!E1", "data!E2"), (8, "data!E2", "data!E1")]
+    edges = spark.createDataFrame(rows + rings + odd, "workbook_id long, from_ref string, to_ref string").repartition(4)
+    before = written()
+    got = B.cell_cycles(edges)
+    spent = written() - before
+    assert sorted(map(tuple, got.collect())) == sorted([(w, f) for w, f, _ in rings] + [(6, "data!E2")])
+    assert spent < 8 * len(rows)  # edges to cells without formulas end in one compressed table; it was 16 bytes a row
+    many = B.BROADCAST_ROWS
+    B.BROADCAST_ROWS = 0
+    try:
+        assert sorted(map(tuple, B.cell_cycles(edges).collect())) == sorted(map(tuple, got.collect()))
+    finally:
+        B.BROADCAST_ROWS = many
