@@ -147,3 +147,33 @@ def test_cycles_keep_little_of_what_lies_on_none(spark):
         assert sorted(map(tuple, B.cell_cycles(edges).collect())) == sorted(map(tuple, got.collect()))
     finally:
         B.BROADCAST_ROWS = many
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_lookups_read_the_table_once(spark, kind):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(k):
+        read.add(1)
+        return k
+
+    rows = [(w, r, str(r % 9) if w % 50 else "#N/A", f"v{r}") for w in range(200) for r in range(1, 11)]
+    table = spark.createDataFrame(rows, "workbook_id int, row_no int, k string, v string").repartition(4).withColumn("k", seen("k"))
+    keys = spark.createDataFrame([(w, "4") for w in range(210)], "workbook_id int, wanted string")
+    got = {r.workbook_id: r.found for r in B.match_position(keys, table, "wanted", kind).collect()}
+    last = "10" if kind else "4"
+    assert got == {w: "#N/A" if w >= 200 or w % 50 == 0 else last for w in range(210)}
+    assert read.value == len(rows)
+
+
+def test_prefix_max_cuts_only_large_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice((None, 1, 1, 1, 2)), rng.randrange(300), i, rng.choice((None, rng.randrange(1000)))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k int, at int, tie int, v int").repartition(6)
+    want, top = {}, {}
+    for k, at, tie, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        top[k] = max((x for x in (top.get(k), v) if x is not None), default=None)
+        want[tie] = top[k]
+    for whole in (1, 1000, 5000):
+        assert {r.tie: r.top for r in scans.prefix_max(frame, ["k"], ["at", "tie"], "v", "top", whole).collect()} == want
