@@ -15,6 +15,8 @@ from vetloom.session import checkpoint_dir
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of text that one step of a Python operator works on.
 STEP_BYTES = 8 << 20
+#: Rows of a few numbers each that make a partition worth its files.
+PART_ROWS = 50_000
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
@@ -52,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of about ``rows`` narrow rows, in no more partitions than those and all cores need.
+
+    Every task of a shuffle or checkpoint leaves files of its own, which for rounds on few rows are larger than the rows.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // PART_ROWS + 1))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed table, for wide rows."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
