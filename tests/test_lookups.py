@@ -149,6 +149,22 @@ def test_cycles_keep_little_of_what_lies_on_none(spark):
         B.BROADCAST_ROWS = many
 
 
+def test_rounds_of_cycles_are_not_broadcast(spark, monkeypatch):
+    plans, stored = [], scans.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(scans, "stored", seen)
+    ring = [(w, f"data!E{r}", f"data!E{r % 7 + 1}") for w in range(3) for r in range(1, 8)]
+    chain = [(9, f"data!E{r}", f"data!E{r + 1}") for r in range(1, 7)]
+    got = B.cell_cycles(spark.createDataFrame(ring + chain, "workbook_id long, from_ref string, to_ref string"))
+    assert sorted(map(tuple, got.collect())) == sorted((w, f) for w, f, _ in ring)
+    rounds = [p for p in plans if "Join" in p and "workbook_id" in p.split("Join", 1)[1].split("]", 1)[0]]
+    assert len(rounds) > 3 and not [p for p in rounds if "BroadcastHashJoin [workbook_id" in p]
+
+
 @pytest.mark.parametrize("kind", [0, 1])
 def test_lookups_read_the_table_once(spark, kind):
     read = spark.sparkContext.accumulator(0)
