@@ -89,3 +89,9 @@ def test_a_fingerprint_is_the_digest_of_all_cells(spark):
 
     cells = spark.createDataFrame([(1, "S", "B", 2, " Y "), (1, "S", "A", 1, "x")], "workbook_id int, sheet string, col string, row_no int, text string")
     assert S.content_fingerprint(cells).first().fingerprint == hashlib.sha256(b"s!a1=x\ns!b2=y").hexdigest()
+
+
+def test_a_cell_without_a_place_or_a_text_counts(spark):
+    schema = "workbook_id int, sheet string, col string, row_no int, text string"
+    rows = [(1, "S", "A", 1, "x"), (2, "S", "A", 1, "x"), (2, None, "A", 1, "x"), (3, "S", "A", 1, "x"), (3, "S", None, None, "y"), (4, "S", "A", 1, "x"), (4, "S", "B", 1, None)]
+    assert len({r.fingerprint for r in S.content_fingerprint(spark.createDataFrame(rows, schema)).collect()}) == 4
