@@ -91,6 +91,32 @@ def test_a_fingerprint_is_the_digest_of_all_cells(spark):
     assert S.content_fingerprint(cells).first().fingerprint == hashlib.sha256(b"s!a1=x\ns!b2=y").hexdigest()
 
 
+def test_a_fingerprint_holds_every_cell_of_the_table(spark, tmp_path):
+    """Orders that differ in column A or in a formula alone, or in cells without a text, are not the same workbook."""
+    import hashlib
+
+    import duckdb
+
+    from vetloom.catalog import load_all
+    from vetloom.catalog.registry import QUERIES, check_sql
+    from vetloom.sources.tables import SCHEMAS
+
+    load_all()
+    keys = [(1, 1), (2, 1), (3, 5), (20, 1), (21, None), (None, 1)]  # part 5 changes A alone, order 20 E alone
+    rows = [(order, part, 1, 1, 2.0, 1.0, 0.0, 0.0, "N", "O", None) for order, part in keys]
+    spark.createDataFrame(rows, SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = QUERIES["content_fingerprint"]
+    got = {r.workbook_id: (r.fingerprint, r.copies, r.first_workbook) for r in query(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(check_sql(query.sql)).fetchall()}
+    assert got == want
+    assert {k: v[1] for k, v in got.items()} == {1: 3, 2: 3, 3: 1, 20: 1, 21: 1, None: 3}
+    formula = "=$e$2+sum(b1:b3)*data!a1+a41+rate1*log10(c2)+\"d4\""
+    cells = f"data!a1=p1\ndata!b1=2\ndata!c1=n\ndata!d1=note\ndata!e1={formula}"
+    assert got[1][0] == hashlib.sha256(cells.encode()).hexdigest()
+
+
 def test_a_cell_without_a_place_or_a_text_counts(spark):
     schema = "workbook_id int, sheet string, col string, row_no int, text string"
     rows = [(1, "S", "A", 1, "x"), (2, "S", "A", 1, "x"), (2, None, "A", 1, "x"), (3, "S", "A", 1, "x"), (3, "S", None, None, "y"), (4, "S", "A", 1, "x"), (4, "S", "B", 1, None)]
