@@ -45,6 +45,25 @@ def test_a_step_that_is_not_due_would_change_nothing(spark):
         assert sorted(D.run_step(docs, "text", step).collect()) == sorted(D.run_step(docs, "text", always).collect()), step.name
 
 
+def test_patterns_run_once_for_the_log_and_the_text(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.de, see www.x.com\nor 082 123 4567")], "doc_id int, text string")
+    for step, pattern in ((D.emails, R.EMAIL), (D.urls, R.URL), (D.bare_domains, R.BARE_DOMAIN), (D.apply_phrases, R.APPLY_PHRASE), (D.phones, R.PHONE_LOCAL)):
+        plan = D.redact(docs, "text", step(D.House()))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(X.regex(pattern)) == 1, step.__name__
+
+
+def test_what_is_not_due_by_the_own_contact_stays(spark):
+    """Steps pass over the house's own contact and over lines without a sign of a match, and change what they changed before."""
+    contact = D.House().contact
+    near = ["", "x.com", "www.", "_", ".com", "-", "/b.org", "1-y.net", "\n", "é"]
+    texts = [*TEXTS, *(f"{a}{c}{b}" for a in near for b in near for c in (contact.upper(), "z@own.site.com", ".")), "do not\nshare\nx", "Do  not share:\nx\n\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2).withColumn("log", F.array().cast(D.LOG_TYPE))
+    for house in (D.House(), D.House(contact="com@own.site.com", own="own.site.com")):
+        for step in (D.urls(house), D.bare_domains(house)):
+            always = D.Step(step.name, step.log, step.apply)
+            assert sorted(D.run_step(docs, "text", step).collect()) == sorted(D.run_step(docs, "text", always).collect()), (house, step.name)
+
+
 def test_a_text_that_a_pass_leaves_alone_is_done(spark):
     docs = spark.createDataFrame([(1, "a  b ,\r\nc"), (2, "done"), (3, None)], "id int, text string")
     out = V.review_text(docs, "text")
